@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from stepwell.llm import url_filter
+from stepwell.llm import bpe, url_filter
 
 URL_RULES = [
     ("org", "/", "allow"),
@@ -20,8 +21,17 @@ def op2_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.judge_urls(pages, URL_RULES)
 
 
+def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/documents.parquet")
+
+
+def op7_bpe_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bpe.digests(bpe.encode_documents(documents(spark, sf_dir), public_tokenizers.path("byte_bpe_50k.json")))
+
+
 QUERIES = {
     "op2_url_filter": op2_url_filter,
+    "op7_bpe_codec": op7_bpe_codec,
 }
 
 ORACLE_SQL = {
