@@ -18,6 +18,7 @@ from __future__ import annotations
 import hashlib
 import json
 import re
+import struct
 from collections.abc import Iterator
 from itertools import chain
 
@@ -25,7 +26,8 @@ import ahocorasick
 import numpy as np
 import pyarrow as pa
 import regex
-from pyspark.sql import DataFrame, SparkSession
+import tiktoken
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from stepwell.llm.common import text_bytes
@@ -37,8 +39,8 @@ ASCII_PIECES = r"'(?:[stmd]|re|ve|ll)| ?[A-Za-z]+| ?[0-9]+| ?[^\t-\r A-Za-z0-9]+
 #: A slice of a long text ends before a blank between two ASCII letters: a piece always begins at such a blank.
 SLICE = 1 << 20
 JOINT = regex.compile(r"(?<=[A-Za-z])(?= [A-Za-z])")
-#: Pieces remembered by a worker, and the longest piece remembered.
-REMEMBERED, REMEMBERED_BYTES = 200_000, 64
+#: Pieces remembered by a worker in each of two generations (some 200 bytes each), and the longest piece remembered.
+REMEMBERED, REMEMBERED_LETTERS = 250_000, 64
 
 
 def byte_letters() -> list[str]:
@@ -57,7 +59,8 @@ def read_vocabulary(path: str) -> bytes:
 class Codec:
     """Encoder and decoder of one byte-level BPE vocabulary, given as the JSON of the tokenizers library."""
 
-    def __init__(self, vocabulary: bytes, specials_as_text: bool = False):
+    def __init__(self, vocabulary: bytes, specials_as_text: bool = False, library: bool = False):
+        """library: encode pieces not yet seen by the tiktoken library (the same merges) instead of by backtracking."""
         spec = json.loads(vocabulary)
         letters = {c: b for b, c in enumerate(byte_letters())}
         ids = spec["model"]["vocab"]
@@ -85,15 +88,17 @@ class Codec:
                 self.rank[whole], self.halves[whole] = r, (left, right)
         self.automaton = ahocorasick.Automaton()
         for entry, i in self.of.items():
-            self.automaton.add_word(entry.decode("latin-1"), i)
+            self.automaton.add_word(entry.decode("latin-1"), (len(entry), i))
         self.automaton.make_automaton()
+        self.library = tiktoken.Encoding("pieces", pat_str=r"[^\n]+|\n", mergeable_ranks=self.of, special_tokens={}) if library else None
         self.shorter: dict[int, int] = {}
         self.fits: dict[tuple[int, int], bool] = {}
-        self.cache: dict[str, tuple[int, ...]] = {}
+        self.younger: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
 
-        lengths = np.fromiter(map(len, self.entries), np.int64, size)
+        self.sizes = list(map(len, self.entries))
         self.offsets = np.zeros(size + 1, np.int64)
-        np.cumsum(lengths, out=self.offsets[1:])
+        np.cumsum(self.sizes, out=self.offsets[1:])
         self.blob = np.frombuffer(b"".join(self.entries), np.uint8)
         self.find_ascii, self.find = re.compile(ASCII_PIECES, re.ASCII).findall, regex.compile(PIECES).findall
 
@@ -104,7 +109,7 @@ class Codec:
         key = (a, b)
         known = self.fits.get(key)
         if known is None:
-            if len(self.fits) > 2_000_000:
+            if len(self.fits) > 500_000:
                 self.fits.clear()
             known = self.fits[key] = self._border_stays(a, b)
         return known
@@ -138,68 +143,70 @@ class Codec:
             self.shorter[i] = got
         return got
 
-    def encode_piece(self, piece: bytes) -> tuple[int, ...]:
+    def encode_piece(self, piece: bytes) -> list[int]:
         n = len(piece)
         longest = [-1] * n
         reach = [0] * n
-        for end, i in self.automaton.iter(piece.decode("latin-1")):
-            size = len(self.entries[i])
+        for end, (size, i) in self.automaton.iter(piece.decode("latin-1")):
             start = end - size + 1
             if size > reach[start]:
                 reach[start], longest[start] = size, i
-        dead = bytearray(n + 1)  # dead[p]: no valid sequence of the bytes before p ends in an entry tried there
+        fits, sizes = self.fits, self.sizes
+        dead: set[int] = set()  # places from which the rest can't be encoded after what stands before them
         out: list[int] = []
-        at = 0
+        at, before = 0, -1
         token = longest[0] if n else -1
         while at < n:
-            before = out[-1] if out else -1
-            while True:
-                end = at + len(self.entries[token])
-                if not dead[end] and (before < 0 or self._compatible(before, token)):
-                    out.append(token)
-                    at = end
-                    token = longest[at] if at < n else -1
-                    break
-                shorter = self._cut_back(token)
-                if shorter >= 0:
-                    token = shorter
-                    continue
-                dead[at] = 1
+            end = at + sizes[token]
+            if end not in dead and (before < 0 or (fits.get((before, token)) or self._compatible(before, token))):
+                out.append(token)
+                at, before = end, token
+                if at < n:
+                    token = longest[at]
+                continue
+            shorter = self._cut_back(token)
+            if shorter >= 0:
+                token = shorter
+            else:
+                dead.add(at)
                 token = out.pop()
-                at -= len(self.entries[token])
-                break
-        return tuple(out)
-
-    def _piece(self, piece: str) -> tuple[int, ...]:
-        ids = self.encode_piece(piece.encode("utf-8", "surrogatepass"))
-        if len(piece) <= REMEMBERED_BYTES:
-            if len(self.cache) >= REMEMBERED:
-                self.cache.clear()
-            self.cache[piece] = ids
+                at -= sizes[token]
+                before = out[-1] if out else -1
+        return out
+
+    def _piece(self, piece: str) -> bytes:
+        """The ids of a piece as bytes. Pieces are remembered in two generations: the older one goes when the younger is full."""
+        ids = self.older.get(piece)
+        if ids is None:
+            data = piece.encode("utf-8", "surrogatepass")
+            found = self.library._encode_single_piece(data) if self.library else self.encode_piece(data)
+            ids = struct.pack(f"<{len(found)}I", *found)
+        if len(piece) <= REMEMBERED_LETTERS:
+            if len(self.younger) >= REMEMBERED:
+                self.older = dict(self.younger)
+                self.younger.clear()
+            self.younger[piece] = ids
         return ids
 
-    def _plain(self, text: str) -> Iterator[np.ndarray]:
-        at = 0
+    def _plain(self, text: str) -> Iterator[bytes]:
+        at, get, other = 0, self.younger.get, self._piece
         while at < len(text):
             end = len(text)
             if end - at > 2 * SLICE and (joint := JOINT.search(text, at + SLICE)):
                 end = joint.start()
-            part = text[at:end] if at or end < len(text) else text
-            known, get = self.cache, self.cache.get
-            pieces = (self.find_ascii if part.isascii() else self.find)(part)
-            found = [got if (got := get(p)) is not None else self._piece(p) for p in pieces]
-            yield np.fromiter(chain.from_iterable(found), self.dtype, sum(map(len, found)))
+            part = text[at:end]
+            yield b"".join([get(p) or other(p) for p in (self.find_ascii if part.isascii() else self.find)(part)])
             at = end
 
     def encode(self, text: str) -> np.ndarray:
         """The ids of a text."""
-        parts: list[np.ndarray] = []
+        parts: list[bytes] = []
         at = 0
-        for m in self.special_pattern.finditer(text) if self.special_pattern and "<" in text else ():
-            parts += [*self._plain(text[at : m.start()]), np.array([self.specials[m[0]]], self.dtype)]
+        for m in self.special_pattern.finditer(text) if self.special_pattern else ():
+            parts += [*self._plain(text[at : m.start()]), np.array([self.specials[m[0]]], self.dtype).tobytes()]
             at = m.end()
         parts += self._plain(text[at:] if at else text)
-        return parts[0] if len(parts) == 1 else np.concatenate([*parts, np.zeros(0, self.dtype)])
+        return np.frombuffer(b"".join(parts), self.dtype)
 
     # ------------------------------------------------------------------ decoding
 
@@ -222,14 +229,14 @@ class Codec:
         return data
 
 
-_CODECS: dict[tuple[str, bool], Codec] = {}
+_CODECS: dict[tuple, Codec] = {}
 
 
-def codec_of(vocabulary: bytes, specials_as_text: bool = False) -> Codec:
+def codec_of(vocabulary: bytes, specials_as_text: bool = False, library: bool = False) -> Codec:
     """One codec a worker process, kept between tasks."""
-    key = (hashlib.md5(vocabulary).hexdigest(), specials_as_text)
+    key = (hashlib.md5(vocabulary).hexdigest(), specials_as_text, library)
     if key not in _CODECS:
-        _CODECS[key] = Codec(vocabulary, specials_as_text)
+        _CODECS[key] = Codec(vocabulary, specials_as_text, library)
     return _CODECS[key]
 
 
