@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from stepwell.llm import bpe, url_filter
+from stepwell.llm import bpe, substring, url_filter
 
 URL_RULES = [
     ("org", "/", "allow"),
@@ -29,9 +29,14 @@ def op7_bpe_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digests(bpe.encode_documents(documents(spark, sf_dir), public_tokenizers.path("byte_bpe_50k.json")))
 
 
+def op8_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring.digests(substring.drop_repeats(documents(spark, sf_dir)))
+
+
 QUERIES = {
     "op2_url_filter": op2_url_filter,
     "op7_bpe_codec": op7_bpe_codec,
+    "op8_substring_dedup": op8_substring_dedup,
 }
 
 ORACLE_SQL = {
