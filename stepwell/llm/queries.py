@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from stepwell.llm import bpe, substring, url_filter
+from stepwell.llm import bpe, simhash, substring, url_filter
 
 URL_RULES = [
     ("org", "/", "allow"),
@@ -25,6 +25,10 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
+def op1_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.as_query(simhash.near_duplicates(documents(spark, sf_dir)))
+
+
 def op7_bpe_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digests(bpe.encode_documents(documents(spark, sf_dir), public_tokenizers.path("byte_bpe_50k.json")))
 
@@ -34,6 +38,7 @@ def op8_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_simhash_dedup": op1_simhash_dedup,
     "op2_url_filter": op2_url_filter,
     "op7_bpe_codec": op7_bpe_codec,
     "op8_substring_dedup": op8_substring_dedup,
