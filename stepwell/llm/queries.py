@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from stepwell.llm import bpe, simhash, substring, url_filter
+from stepwell.llm import ann, bpe, simhash, substring, topk, url_filter
 
 URL_RULES = [
     ("org", "/", "allow"),
@@ -29,6 +29,11 @@ def op1_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.as_query(simhash.near_duplicates(documents(spark, sf_dir)))
 
 
+def op3_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = topk.clean(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
+    return topk.top_k(vectors, vectors.where("id % 100 = 0"), 10)
+
+
 def op7_bpe_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digests(bpe.encode_documents(documents(spark, sf_dir), public_tokenizers.path("byte_bpe_50k.json")))
 
@@ -37,11 +42,18 @@ def op8_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring.digests(substring.drop_repeats(documents(spark, sf_dir)))
 
 
+def op9_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = ann.clean(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
+    return ann.nearest(vectors, vectors.where("id % 50 = 0"), 5)
+
+
 QUERIES = {
     "op1_simhash_dedup": op1_simhash_dedup,
     "op2_url_filter": op2_url_filter,
+    "op3_exact_topk": op3_exact_topk,
     "op7_bpe_codec": op7_bpe_codec,
     "op8_substring_dedup": op8_substring_dedup,
+    "op9_nearest_neighbours": op9_nearest_neighbours,
 }
 
 ORACLE_SQL = {
@@ -56,5 +68,13 @@ m as (select p.page_id, p.host, p.path, rh || rp as rule, rv,
         row_number() over (partition by p.page_id order by length(rh || rp) desc nulls last) as k
       from p left join rules on (p.host = rh or ends_with(p.host, '.' || rh)) and starts_with(p.path, rp))
 select page_id, host, path, rule, coalesce(rv, 'allow') as verdict from m where k = 1
+""",
+    "op3_exact_topk": """
+with v as (select vec_id, list_transform(embedding, lambda x: floor(1024 * cast(x as double))) as a from embeddings
+           where vec_id is not null and len(embedding) > 0 and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0),
+s as (select q.vec_id as query_id, c.vec_id, cast(list_dot_product(q.a, c.a) as bigint) as score
+      from v q join v c on q.vec_id % 100 = 0 and c.vec_id <> q.vec_id),
+r as (select *, cast(row_number() over (partition by query_id order by score desc, vec_id) as integer) as rank from s)
+select query_id, rank, vec_id, score from r where rank <= 10
 """,
 }
