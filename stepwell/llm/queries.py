@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from stepwell.llm import ann, bpe, simhash, substring, topk, url_filter
+from stepwell.llm import ann, bpe, packing, simhash, substring, topk, url_filter
 
 URL_RULES = [
     ("org", "/", "allow"),
@@ -34,6 +34,10 @@ def op3_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.top_k(vectors, vectors.where("id % 100 = 0"), 10)
 
 
+def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack_documents(documents(spark, sf_dir), public_tokenizers.path("byte_bpe_50k.json"), with_ids=False)
+
+
 def op7_bpe_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digests(bpe.encode_documents(documents(spark, sf_dir), public_tokenizers.path("byte_bpe_50k.json")))
 
@@ -51,6 +55,7 @@ QUERIES = {
     "op1_simhash_dedup": op1_simhash_dedup,
     "op2_url_filter": op2_url_filter,
     "op3_exact_topk": op3_exact_topk,
+    "op5_packing": op5_packing,
     "op7_bpe_codec": op7_bpe_codec,
     "op8_substring_dedup": op8_substring_dedup,
     "op9_nearest_neighbours": op9_nearest_neighbours,
