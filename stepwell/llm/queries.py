@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from stepwell.llm import ann, bpe, packing, simhash, substring, topk, url_filter
+from stepwell.llm import ann, bpe, packing, quality, simhash, substring, topk, url_filter
 
 URL_RULES = [
     ("org", "/", "allow"),
@@ -38,6 +38,12 @@ def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(documents(spark, sf_dir), public_tokenizers.path("byte_bpe_50k.json"), with_ids=False)
 
 
+def op6_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir)
+    model = quality.train(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    return quality.judged(quality.score(docs, model))
+
+
 def op7_bpe_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digests(bpe.encode_documents(documents(spark, sf_dir), public_tokenizers.path("byte_bpe_50k.json")))
 
@@ -56,6 +62,7 @@ QUERIES = {
     "op2_url_filter": op2_url_filter,
     "op3_exact_topk": op3_exact_topk,
     "op5_packing": op5_packing,
+    "op6_quality_classifier": op6_quality_classifier,
     "op7_bpe_codec": op7_bpe_codec,
     "op8_substring_dedup": op8_substring_dedup,
     "op9_nearest_neighbours": op9_nearest_neighbours,
