@@ -96,7 +96,7 @@ def log_count_ratios(rows: list[np.ndarray], positive: np.ndarray) -> np.ndarray
     return np.log(p / p.sum()) - np.log(q / q.sum())
 
 
-def dual_coordinate_descent(rows: list[np.ndarray], signs: np.ndarray, scale: np.ndarray, cost: float = COST, epochs: int = EPOCHS) -> tuple[np.ndarray, float]:
+def dual_coordinate_descent(rows: list[np.ndarray], signs: np.ndarray, scale: np.ndarray, cost: float = COST, epochs: int = EPOCHS, tolerance: float = 1e-3) -> tuple[np.ndarray, float]:
     """Hinge loss with a quadratic penalty: (weights times scale, bias). One dual variable a row, kept in [0, cost of its
     class]; classes weigh the same in sum. Rows are scaled to length 1."""
     rng = np.random.default_rng(7)
@@ -117,7 +117,7 @@ def dual_coordinate_descent(rows: list[np.ndarray], signs: np.ndarray, scale: np
                 bias += step
                 alpha[i] = new
                 moved = max(moved, abs(step))
-        if moved < 1e-3:
+        if moved < tolerance:
             break
     return w, bias
 

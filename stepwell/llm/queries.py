@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from stepwell.llm import ann, bpe, packing, quality, simhash, substring, topk, url_filter
+from stepwell.llm import ann, bpe, license_scan, packing, quality, simhash, substring, topk, url_filter
 
 URL_RULES = [
     ("org", "/", "allow"),
@@ -34,6 +34,10 @@ def op3_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.top_k(vectors, vectors.where("id % 100 = 0"), 10)
 
 
+def op4_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_scan.as_query(license_scan.scan(documents(spark, sf_dir)))
+
+
 def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(documents(spark, sf_dir), public_tokenizers.path("byte_bpe_50k.json"), with_ids=False)
 
@@ -61,6 +65,7 @@ QUERIES = {
     "op1_simhash_dedup": op1_simhash_dedup,
     "op2_url_filter": op2_url_filter,
     "op3_exact_topk": op3_exact_topk,
+    "op4_license_scan": op4_license_scan,
     "op5_packing": op5_packing,
     "op6_quality_classifier": op6_quality_classifier,
     "op7_bpe_codec": op7_bpe_codec,

@@ -69,7 +69,7 @@ def test_dual_coordinate_descent_reaches_the_optimum():
     rows = [np.flatnonzero(rng.random(12) < 0.4) for _ in range(60)]
     signs = np.where(rng.random(60) < 0.5, 1.0, -1.0)
     scale = rng.normal(size=12)
-    w, b = quality.dual_coordinate_descent(rows, signs, scale, cost=0.5, epochs=3000)
+    w, b = quality.dual_coordinate_descent(rows, signs, scale, cost=0.5, epochs=5000, tolerance=1e-10)
     x = np.zeros((60, 13))
     for i, f in enumerate(rows):
         x[i, f] = scale[f] / (np.sqrt((scale[f] ** 2).sum()) or 1)
