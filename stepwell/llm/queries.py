@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from stepwell.llm import ann, bpe, license_scan, packing, quality, simhash, substring, topk, url_filter
+from stepwell.llm import ann, bpe, license_scan, packing, quality, simhash, substring, token_counts, topk, url_filter
 
 URL_RULES = [
     ("org", "/", "allow"),
@@ -61,6 +61,10 @@ def op9_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ann.nearest(vectors, vectors.where("id % 50 = 0"), 5)
 
 
+def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_counts.count_documents(documents(spark, sf_dir), public_tokenizers.path("byte_bpe_50k.json"))
+
+
 QUERIES = {
     "op1_simhash_dedup": op1_simhash_dedup,
     "op2_url_filter": op2_url_filter,
@@ -71,6 +75,7 @@ QUERIES = {
     "op7_bpe_codec": op7_bpe_codec,
     "op8_substring_dedup": op8_substring_dedup,
     "op9_nearest_neighbours": op9_nearest_neighbours,
+    "op10_token_counts": op10_token_counts,
 }
 
 ORACLE_SQL = {

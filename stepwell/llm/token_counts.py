@@ -45,34 +45,101 @@ def token_blocks(docs: DataFrame, vocabulary: str, end_id: int = END_ID, block_t
 
         codec = codec_of(shipped.value, specials_as_text=True, library=True)
         kind, file = width_of(len(codec.entries)), TaskContext.get().partitionId()
-        parts: list[np.ndarray] = []
-        ids, waiting, block = [], 0, 0
+        buffer, used, block, ended = np.empty(block_tokens, kind), 0, 0, []
         id_kind = pa.int64()
 
-        def out(data: np.ndarray, ids: list) -> pa.RecordBatch:
-            return pa.RecordBatch.from_pydict({"file": pa.array([file], pa.int64()), "block": pa.array([block], pa.int64()), "data": pa.array([data.tobytes()], pa.binary()), "ids": pa.array([ids], pa.list_(id_kind))})
+        def out() -> pa.RecordBatch:
+            return pa.RecordBatch.from_pydict(
+                {
+                    "file": pa.array([str(file)]),
+                    "block": pa.array([block], pa.int64()),
+                    "data": pa.array([buffer[:used].tobytes()], pa.binary()),
+                    "ids": pa.array([ended], pa.list_(id_kind)),
+                }
+            )
 
         for batch in batches:
             id_kind = batch.schema.field("id").type
             for doc_id, text in zip(batch.column("id").to_pylist(), texts_of(batch.column("text")), strict=True):
-                parts.append(np.append(codec.encode(text), np.uint32(end_id)).astype(kind))
-                waiting += len(parts[-1])
-                if waiting >= block_tokens:
-                    data = np.concatenate(parts)
-                    whole = len(data) // block_tokens * block_tokens
-                    for k in range(0, whole, block_tokens):
-                        last = k + block_tokens == len(data)
-                        yield out(data[k : k + block_tokens], [*ids, doc_id] if last else ids)
-                        ids = [] if last or k + block_tokens <= len(data) - len(parts[-1]) or ids else ids
-                        block += 1
-                    parts, waiting = [data[whole:]], len(data) - whole
-                    if not waiting:
-                        continue
-                ids = [*ids, doc_id] if waiting >= block_tokens else ids
-                ids.append(doc_id)
-        if waiting:
-            yield out(np.concatenate(parts), ids)
+                tokens = np.append(codec.encode(text), np.uint32(end_id)).astype(kind)
+                at = 0
+                while at < len(tokens):
+                    n = min(len(tokens) - at, block_tokens - used)
+                    buffer[used : used + n] = tokens[at : at + n]
+                    used, at = used + n, at + n
+                    if at == len(tokens):
+                        ended.append(doc_id)
+                    if used == block_tokens:
+                        yield out()
+                        used, block, ended = 0, block + 1, []
+        if used:
+            yield out()
 
     id_type = docs.schema[id_column].dataType.simpleString()
     rows = docs.select(F.col(id_column).alias("id"), text_bytes(text_column))
-    return rows.mapInArrow(run, f"file long, block long, data binary, ids array<{id_type}>")
+    return rows.mapInArrow(run, f"file string, block long, data binary, ids array<{id_type}>")
+
+
+def read_blocks(spark: SparkSession, path: str, width: str = "<u2", block_tokens: int = BLOCK_TOKENS) -> DataFrame:
+    """(file, block, data) of raw flat files under a path; one task reads a file of up to 2 GB, the limit of a row."""
+    size = np.dtype(width).itemsize * block_tokens
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for file, content in zip(batch.column("path").to_pylist(), batch.column("content"), strict=True):
+                data = memoryview(content.as_buffer())
+                for block, k in enumerate(range(0, len(data), size)):
+                    yield pa.RecordBatch.from_pydict({"file": pa.array([file]), "block": pa.array([block], pa.int64()), "data": pa.array([bytes(data[k : k + size])], pa.binary())})
+
+    files = spark.read.format("binaryFile").load(path).select("path", "content")
+    return files.mapInArrow(run, "file string, block long, data binary")
+
+
+def count_tokens(blocks: DataFrame, end_id: int = END_ID, width: str = "<u2") -> DataFrame:
+    """One row for each document: file, number (from 0, in its file's order), doc_id (where blocks carry ids, else null),
+    start (its first token's place in the file), n_tokens (without the separator), closed."""
+    named = "ids" in blocks.columns
+    id_type = blocks.schema["ids"].dataType.elementType.simpleString() if named else "long"
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sizes, ends = [], []
+            for data in batch.column("data"):
+                tokens = np.frombuffer(data.as_buffer(), width)
+                sizes.append(len(tokens))
+                ends.append(np.flatnonzero(tokens == end_id).tolist())
+            yield pa.RecordBatch.from_pydict(
+                {"file": batch.column("file"), "block": batch.column("block"), "size": pa.array(sizes, pa.int64()), "ends": pa.array(ends, pa.list_(pa.int64()))}
+                | ({"ids": batch.column("ids")} if named else {})
+            )
+
+    columns = ["file", "block", "data", *["ids"] * named]
+    scanned = blocks.select(*columns).mapInArrow(run, "file string, block long, size long, ends array<long>" + f", ids array<{id_type}>" * named)
+    if not named:
+        scanned = scanned.withColumn("ids", F.transform("ends", lambda _: F.lit(None).cast(id_type)))
+    # The prefix scan. Both windows share one order, so a file's block rows are shuffled once.
+    file = Window.partitionBy("file").orderBy("block")
+    before = file.rowsBetween(Window.unboundedPreceding, -1)
+    placed = scanned.withColumn("base", F.coalesce(F.sum("size").over(before), F.lit(0))).withColumn("n_before", F.coalesce(F.sum(F.size("ends")).over(before), F.lit(0)))
+    placed = placed.withColumn("last_end", F.when(F.size("ends") > 0, F.col("base") + F.element_at("ends", -1) + 1))
+    placed = placed.withColumn("open_from", F.coalesce(F.max("last_end").over(before), F.lit(0))).withColumn("is_last", F.lead("block").over(file).isNull())
+    rest = F.col("is_last") & (F.coalesce("last_end", "open_from") < F.col("base") + F.col("size"))
+    absolute = F.transform("ends", lambda e: e + F.col("base"))
+    closing = F.when(rest, F.concat(absolute, F.array(F.col("base") + F.col("size")))).otherwise(absolute)
+    # Only the zipped array is exploded: rows carry no other array, so a block of very many short documents stays linear.
+    starts = F.concat(F.array("open_from"), F.transform("closing", lambda e: e + 1))
+    zipped = placed.select("file", "n_before", "open_from", "ids", F.size("ends").alias("n"), closing.alias("closing"))
+    zipped = zipped.select("file", "n_before", "n", F.arrays_zip(F.slice(starts, F.lit(1), F.size("closing")).alias("start"), F.col("closing").alias("end"), F.col("ids").alias("id")).alias("docs"))
+    return zipped.select("file", "n_before", "n", F.posexplode("docs").alias("k", "doc")).select(
+        "file",
+        (F.col("n_before") + F.col("k")).cast("long").alias("number"),
+        F.col("doc.id").alias("doc_id"),
+        F.col("doc.start").alias("start"),
+        (F.col("doc.end") - F.col("doc.start")).alias("n_tokens"),
+        (F.col("k") < F.col("n")).alias("closed"),
+    )
+
+
+def count_documents(docs: DataFrame, vocabulary: str, **columns: str) -> DataFrame:
+    """Token files of docs, written to the shared folder, and their counts."""
+    return count_tokens(stored(token_blocks(docs, vocabulary, **columns)))
