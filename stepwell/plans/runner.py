@@ -152,6 +152,7 @@ class _Run:
         self.result = RunResult(run_id=uuid.uuid4().hex)
         self.state: dict[Task, bool] = {}
         self.active: list[Task] = []
+        self.advised: set[Task] = set()
 
     def visit(self, task: Task) -> bool:
         """Make a task and what it needs; True if it is complete afterwards."""
@@ -176,7 +177,10 @@ class _Run:
     def _make(self, task: Task) -> bool:
         r = self.result
         if task.is_complete():
-            r.warnings += records.advise(task)
+            for t in graph.post_order(task):  # what lies above is complete too, and its records are kept up as well
+                if t not in self.advised:
+                    self.advised.add(t)
+                    r.warnings += records.advise(t)
             r.complete.append(task)
             return True
         if not all([self.visit(d) for d in task.deps()]):  # siblings of what failed are still made
