@@ -98,5 +98,16 @@ s as (select q.vec_id as query_id, c.vec_id, cast(list_dot_product(q.a, c.a) as
       from v q join v c on q.vec_id % 100 = 0 and c.vec_id <> q.vec_id),
 r as (select *, cast(row_number() over (partition by query_id order by score desc, vec_id) as integer) as rank from s)
 select query_id, rank, vec_id, score from r where rank <= 10
+""",
+    "op8_substring_dedup": r"""
+with w as (select doc_id, coalesce(regexp_extract_all(text, '[^\x20\x09-\x0D]+'), []) as ws from documents),
+starts as (select doc_id, ws, unnest(range(1, len(ws) - 33)) as i from w),
+windows as (select doc_id, i, count(*) over (partition by array_to_string(ws[i : i + 34], ' ')) > 1 as repeated from starts),
+words as (select doc_id, unnest(ws) as word, unnest(range(1, len(ws) + 1)) as i from w),
+marked as (select words.doc_id, words.i, word, max(coalesce(repeated, false)) over (partition by words.doc_id order by words.i rows between 34 preceding and current row) as gone
+           from words left join windows on words.doc_id = windows.doc_id and words.i = windows.i)
+select w.doc_id, cast(len(ws) as bigint) as n_words, cast(count(*) filter (gone) as bigint) as n_removed,
+       sha256(coalesce(string_agg(word, ' ' order by i) filter (not gone), '')) as kept_sha256
+from w left join marked using (doc_id) group by w.doc_id, len(ws)
 """,
 }

@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from stepwell.llm.common import binaries, mixed, text_bytes
+from stepwell.llm.common import binaries, mixed
 
 UNIT_BYTES = 4 << 20
 BUCKET_HASHES = 3_000_000
@@ -139,9 +139,16 @@ def sorted_rows(table: pa.Table) -> pa.Table:
     return table.combine_chunks().sort_by([("id", "ascending"), ("text", "ascending")])
 
 
-def drop_repeats(docs: DataFrame, width: int = 35, id_column: str = "doc_id", text_column: str = "text", carry: tuple[str, ...] = ()) -> DataFrame:
+def texts_of(table: pa.Table) -> pa.Array:
+    """Texts of a unit, null as empty."""
+    texts = table.column("text").combine_chunks()
+    return texts.fill_null(b"") if texts.null_count else texts
+
+
+def drop_repeats(docs: DataFrame, width: int = 35, id_column: str = "doc_id", text_column: str = "text", carry: tuple[str, ...] = (), with_text: bool = False) -> DataFrame:
     """One row for each row of docs: id, n_words, n_removed, kept (UTF-8 bytes of the kept words), removed (the
-    maximal intervals of removed words, as [start, end) pairs) and the columns named in carry."""
+    maximal intervals of removed words, as [start, end) pairs), the columns named in carry and, if with_text, text: the
+    text as it was where nothing is removed, else the kept words."""
     spark = docs.sparkSession
     total = docs.select(F.sum(F.octet_length(text_column)).alias("n")).first()["n"] or 0
     units = max(8, -(-total // UNIT_BYTES))
@@ -152,13 +159,13 @@ def drop_repeats(docs: DataFrame, width: int = 35, id_column: str = "doc_id", te
     dealt = docs.select(
         F.pmod(F.xxhash64(F.col(id_column), F.col(text_column)), F.lit(units)).cast("long").alias("unit"),
         F.col(id_column).alias("id"),
-        text_bytes(text_column),
+        F.col(text_column).cast("binary").alias("text"),
         *[F.col(c).alias(f"carried_{k}") for k, c in enumerate(carry)],
     )
     carried = [f.name for f in dealt.schema if f.name.startswith("carried_")]
 
     def send(key, table):
-        data, offsets = binaries(sorted_rows(table).column("text").combine_chunks())
+        data, offsets = binaries(texts_of(sorted_rows(table)))
         hashes, again, *_ = distinct_windows(data, offsets, width)
         edges = bucket_edges(hashes, buckets)
         full = np.flatnonzero(np.diff(edges))
@@ -188,7 +195,7 @@ def drop_repeats(docs: DataFrame, width: int = 35, id_column: str = "doc_id", te
 
     def remove(docs_table, answers):
         table = sorted_rows(docs_table)
-        texts = table.column("text").combine_chunks()
+        texts = texts_of(table)
         data, offsets = binaries(texts)
         hashes, _, starts, which, counts = distinct_windows(data, offsets, width)
         repeated = np.zeros(len(hashes), bool)
@@ -221,17 +228,21 @@ def drop_repeats(docs: DataFrame, width: int = 35, id_column: str = "doc_id", te
             "kept": pa.array(kept, pa.binary()),
             "removed": pa.array(spans, pa.list_(pa.list_(pa.int64()))),
         }
+        if with_text:
+            original = table.column("text").to_pylist()
+            out["text"] = pa.array([k if n else t for k, n, t in zip(kept, removed, original, strict=True)], pa.binary()).cast(pa.string())
         return pa.table(out | {c: table.column(c) for c in carried})
 
-    sent = dealt.select("unit", "id", "text").groupBy("unit").applyInArrow(send, "bucket long, from_unit long, hashes binary, again binary")
+    # Both uses of dealt have the same columns, so that Spark makes one exchange of them.
+    sent = dealt.groupBy("unit").applyInArrow(send, "bucket long, from_unit long, hashes binary, again binary")
     answers = sent.groupBy("bucket").applyInArrow(answer, "unit long, bucket long, bits binary")
     kinds = "".join(f", {f.name} {f.dataType.simpleString()}" for f in dealt.schema if f.name in carried)
     got = (
         dealt.groupBy("unit")
         .cogroup(answers.groupBy("unit"))
-        .applyInArrow(remove, f"id {id_type}, n_words long, n_removed long, kept binary, removed array<array<long>>{kinds}")
+        .applyInArrow(remove, f"id {id_type}, n_words long, n_removed long, kept binary, removed array<array<long>>{', text string' * with_text}{kinds}")
     )
-    return got.select(F.col("id").alias(id_column), "n_words", "n_removed", "kept", "removed", *[F.col(k).alias(c) for k, c in zip(carried, carry, strict=True)])
+    return got.select(F.col("id").alias(id_column), "n_words", "n_removed", "kept", "removed", *["text"] * with_text, *[F.col(k).alias(c) for k, c in zip(carried, carry, strict=True)])
 
 
 def digests(result: DataFrame) -> DataFrame:

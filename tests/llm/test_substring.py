@@ -43,8 +43,10 @@ def test_repeated_rows_and_empty_table(spark):
 
 def test_carried_columns(spark):
     docs = spark.createDataFrame([(1, "a b", "x", 7)], ROWS)
-    r = substring.drop_repeats(docs, carry=("id", "unit", "text")).first()
-    assert (r.id, r.unit, r.text, bytes(r.kept)) == ("x", 7, "a b", b"a b")
+    docs = docs.union(spark.createDataFrame([(2, None, "y", 8), (3, "z  z ", "y", 8), (4, " z z", "y", 9)], ROWS))
+    got = {r.doc_id: r for r in substring.drop_repeats(docs, 2, carry=("id", "unit"), with_text=True).collect()}
+    assert (got[1].id, got[1].unit, got[1].text, bytes(got[1].kept)) == ("x", 7, "a b", b"a b")
+    assert [got[k].text for k in (2, 3, 4)] == [None, "", ""]
 
 
 def test_words_that_meet_at_a_border():
