@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from stepwell.llm.common import cut, stored
+from stepwell.llm.common import cut, smallest_hashes, stored
 from stepwell.llm.topk import classes, usable
 
 PIVOTS = 256
@@ -97,7 +97,7 @@ def nearest(candidates: DataFrame, queries: DataFrame, k: int = 5, reranked: flo
     different = cut(classes(candidates, k + 1))
     size = different.count()
     segments = max(1, -(-size // SEGMENT))
-    sample = different.orderBy(F.xxhash64("ids"), "v").limit(PIVOTS).select("v").toArrow()
+    sample = smallest_hashes(different, ["ids", "v"], PIVOTS, size).select("v").toArrow()
     pivots = unit(matrix(sample.column("v").combine_chunks(), width)) if sample.num_rows else np.zeros((0, width))
     posted, asked_first = min(POSTED, len(pivots)), min(ASKED, len(pivots))
 

@@ -40,7 +40,7 @@ ASCII_PIECES = r"'(?:[stmd]|re|ve|ll)| ?[A-Za-z]+| ?[0-9]+| ?[^\t-\r A-Za-z0-9]+
 SLICE = 1 << 20
 JOINT = regex.compile(r"(?<=[A-Za-z])(?= [A-Za-z])")
 #: Pieces remembered by a worker in each of two generations (some 200 bytes each), and the longest piece remembered.
-REMEMBERED, REMEMBERED_LETTERS = 250_000, 64
+REMEMBERED, REMEMBERED_LETTERS = 200_000, 64
 
 
 def byte_letters() -> list[str]:
@@ -75,22 +75,10 @@ class Codec:
         self.specials = {} if specials_as_text else specials
         self.special_pattern = regex.compile("|".join(map(regex.escape, sorted(self.specials, key=len, reverse=True)))) if self.specials else None
 
-        # rank[i]: when entry i is made (bytes: before all merges); halves[i]: what it is made of.
         self.of: dict[bytes, int] = {bytes(letters[c] for c in t): i for t, i in ids.items()}
-        self.rank = [-1] * size
-        self.halves: list[tuple[int, int]] = [(i, i) for i in range(size)]
-        self.merged: dict[tuple[int, int], int] = {}
-        for r, m in enumerate(spec["model"]["merges"]):
-            left, right = (ids[x] for x in (m if isinstance(m, list) else m.split(" ")))
-            whole = self.of[self.entries[left] + self.entries[right]]
-            self.merged[left, right] = r
-            if self.rank[whole] < 0:
-                self.rank[whole], self.halves[whole] = r, (left, right)
-        self.automaton = ahocorasick.Automaton()
-        for entry, i in self.of.items():
-            self.automaton.add_word(entry.decode("latin-1"), (len(entry), i))
-        self.automaton.make_automaton()
         self.library = tiktoken.Encoding("pieces", pat_str=r"[^\n]+|\n", mergeable_ranks=self.of, special_tokens={}) if library else None
+        if not library:
+            self._backtracking(spec["model"]["merges"], ids)
         self.shorter: dict[int, int] = {}
         self.fits: dict[tuple[int, int], bool] = {}
         self.younger: dict[str, bytes] = {}
@@ -102,6 +90,22 @@ class Codec:
         self.blob = np.frombuffer(b"".join(self.entries), np.uint8)
         self.find_ascii, self.find = re.compile(ASCII_PIECES, re.ASCII).findall, regex.compile(PIECES).findall
 
+    def _backtracking(self, merges: list, ids: dict[str, int]) -> None:
+        """rank[i]: when entry i is made (bytes: before all merges); halves[i]: what it is made of; the automaton."""
+        self.rank = [-1] * len(self.entries)
+        self.halves: list[tuple[int, int]] = [(i, i) for i in range(len(self.entries))]
+        self.merged: dict[tuple[int, int], int] = {}
+        for r, m in enumerate(merges):
+            left, right = (ids[x] for x in (m if isinstance(m, list) else m.split(" ")))
+            whole = self.of[self.entries[left] + self.entries[right]]
+            self.merged[left, right] = r
+            if self.rank[whole] < 0:
+                self.rank[whole], self.halves[whole] = r, (left, right)
+        self.automaton = ahocorasick.Automaton()
+        for entry, i in self.of.items():
+            self.automaton.add_word(entry.decode("latin-1"), (len(entry), i))
+        self.automaton.make_automaton()
+
     # ------------------------------------------------------------------ encoding
 
     def _compatible(self, a: int, b: int) -> bool:

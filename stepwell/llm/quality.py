@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from stepwell.llm.common import binaries, text_bytes
+from stepwell.llm.common import binaries, smallest_hashes, text_bytes
 from stepwell.llm.substring import word_hashes
 
 SPACE_BITS = 16
@@ -157,7 +157,7 @@ def fit(rows: list[np.ndarray], positive: np.ndarray) -> Model:
 def training_rows(docs: DataFrame, labels: DataFrame, most_rows: int, label: str = "quality", id_column: str = "doc_id", text_column: str = "text") -> tuple[list[np.ndarray], np.ndarray]:
     """Features and labels of the sample. The chosen ids are at most most_rows, so broadcasting them is bounded."""
     known = labels.where(F.col(label).isNotNull() & ~held_out(F.col(id_column))).groupBy(id_column).agg(F.max(label).alias("positive"))
-    chosen = known.orderBy(F.xxhash64(id_column), id_column).limit(most_rows).select(F.col(id_column).alias("chosen"), (F.col("positive") > 0).alias("positive"))
+    chosen = smallest_hashes(known, [id_column], most_rows, known.count()).select(F.col(id_column).alias("chosen"), (F.col("positive") > 0).alias("positive"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

@@ -12,7 +12,8 @@ long). Equal fingerprints are one entry from the start (pre-aggregated before th
 cost nothing. Lists longer than ``SPLIT`` are compared by a fourth positional byte, which linked fingerprints must share,
 so the work falls by a factor of some 50; nothing is dropped. A list is held by one task at 16 bytes an entry; it holds
 different fingerprints only: the N / 2**24 that share three bytes by chance, and the spread of a group of near copies,
-which few unstable bits bound however many documents the group has. Components come from alternating large-star and small-star steps over the forest, checkpointed.
+which few unstable bits bound however many documents the group has. Components come from alternating large-star and
+small-star steps over the forest, checkpointed.
 
 Defined results: null or blank text has no words and fingerprint zero, which is linked like any other. Rows with equal
 ids keep a row each. An id may be null: it takes part, but the smallest id is taken over those that aren't null.
@@ -242,7 +243,8 @@ def near_duplicates(docs: DataFrame, width: int = 4, max_bits: int = MOST_BITS,
     linked = different.join(found, F.col("fp") == F.col("node"))
     named = linked.groupBy("root").agg(F.min("least_id").alias("component_id"))
     moved = cut(found.join(named, "root").select(F.col("node").alias("fp"), "component_id"))
-    per = different.join(moved, "fp", "left").select("fp", F.coalesce("component_id", "least_id").alias("component_id"))
+    # Cut, so that the last join is between two plain exchanges, of which Spark splits the one with a hot fingerprint.
+    per = cut(different.join(moved, "fp", "left").select("fp", F.coalesce("component_id", "least_id").alias("component_id")))
     return rows.join(per, "fp").select(F.col("id").alias(id_column), "fp", "component_id")
 
 

@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from stepwell.llm.common import cut, stored
+from stepwell.llm.common import cut, smallest_hashes, stored
 
 BLOCK = 128
 GROUP_BLOCKS = 64
@@ -100,9 +100,9 @@ def search_group(query_id: int, query: np.ndarray, bound: np.ndarray, blocks: li
     return scores, ids
 
 
-def build_groups(vectors: DataFrame, width: int, k: int) -> DataFrame:
+def build_groups(vectors: DataFrame, rows: int, width: int, k: int) -> DataFrame:
     """(gid, data): blocks in groups. vectors: id, v. Rows of a group: matrices of vectors, owners and ids."""
-    seeds = vectors.where(F.col("v").isNotNull()).orderBy(F.xxhash64("id")).limit(PIVOTS).select("v").toArrow()
+    seeds = smallest_hashes(vectors, ["id", "v"], PIVOTS, rows).select("v").toArrow()
     pivots = matrix(seeds.column("v").combine_chunks(), width).astype(np.float64) if seeds.num_rows else np.zeros((1, width))
     pivots /= np.maximum(np.linalg.norm(pivots, axis=1, keepdims=True), 1e-9)
 
@@ -153,12 +153,12 @@ def classes(vectors: DataFrame, few: int) -> DataFrame:
 def top_k(candidates: DataFrame, queries: DataFrame, k: int = 10) -> DataFrame:
     """query_id, rank, vec_id, score. candidates and queries: (id, v) with v an array of longs."""
     spark = candidates.sparkSession
-    shape = candidates.union(queries).agg(F.max(F.size("v")).alias("width")).first()
+    shape = candidates.union(queries).agg(F.max(F.size("v")).alias("width"), F.count("*").alias("rows")).first()
     width = shape["width"]
     schema = "query_id long, vec_id long, score long"
     if width is None:
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score long")
-    groups = build_groups(candidates, width, k)
+    groups = build_groups(candidates, shape["rows"], width, k)
     queries = queries.groupBy("id").agg(F.min("v").alias("v"))
     chunks = max(1, -(-queries.count() // QUERY_CHUNK))
     asked = cut(queries.select("id", "v", F.pmod(F.xxhash64("id", F.lit(7)), F.lit(chunks)).cast("long").alias("chunk")))
