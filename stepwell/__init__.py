@@ -74,5 +74,6 @@ TaskCSVPandas = TaskCSV
 TaskCSVGZPandas = TaskCSVGZ
 TaskExcelPandas = TaskExcel
 TaskExcelPandasSingle = TaskExcelSingle
+TaskH5Pandas = TaskParquet  # frames that were kept as HDF5 are kept as parquet
 
 __all__ = [n for n in dir() if not n.startswith("_")]

@@ -163,6 +163,9 @@ def hashes(cls: type) -> dict[str, str]:
     if path is None or f"{os.sep}site-packages{os.sep}" in path:
         return {}
     root = project_root(path)
+    file = _file(path)
+    if file is None or cls.__name__ not in file.symbols:  # made inside a function, or the file can't be parsed
+        return module_hashes(path, root)
     own = {path: {cls.__name__}}
     for base in cls.__mro__[1:]:
         at = source_of(base)
@@ -185,8 +188,6 @@ def hashes(cls: type) -> dict[str, str]:
                 return
             if at := _local(module, p, root):
                 reach(at, symbol)
-            if at := _local(f"{module}.{symbol}" if module.strip(".") else module + symbol, p, root):
-                go(at, "*")
         else:
             for module in f.stars:
                 if at := _local(module, p, root):
@@ -204,8 +205,6 @@ def hashes(cls: type) -> dict[str, str]:
         f = _file(p)
         if f is None:
             continue
-        if name == "*":  # a module used as a value: what of it is used is found by dotted names below
-            continue
         statements = f.symbols.get(name)
         if not statements:
             continue
@@ -223,6 +222,49 @@ def hashes(cls: type) -> dict[str, str]:
     return dict(sorted(found.items()))
 
 
+def file_hash(path: str) -> str:
+    """Hash of a file's code without comments and docstrings; of its bytes where it can't be parsed."""
+    with open(path, "rb") as f:
+        data = f.read()
+    try:
+        bare = ast.dump(_Bare().visit(ast.parse(data)), annotate_fields=False).encode()
+    except (SyntaxError, ValueError):
+        bare = data
+    return hashlib.md5(bare).hexdigest()
+
+
+def module_hashes(path: str, root: str | None = None) -> dict[str, str]:
+    """{'relative/path.py': md5} of a file and the local files that it imports, directly or not: for classes whose
+    symbols can't be told apart."""
+    root = root or project_root(path)
+    found: dict[str, str] = {}
+    todo = [path]
+    while todo:
+        p = todo.pop()
+        key = os.path.relpath(p, root)
+        if key in found:
+            continue
+        found[key] = file_hash(p)
+        f = _file(p)
+        for module, symbol in (f.imports.values() if f else ()):
+            inner = [module] if symbol is None else [module, f"{module}.{symbol}" if module.strip(".") else module + symbol]
+            todo += [at for m in inner if (at := _local(m, p, root))]
+        todo += [at for m in (f.stars if f else ()) if (at := _local(m, p, root))]
+    return dict(sorted(found.items()))
+
+
+def current_hash(key: str, root: str) -> str | None:
+    """What a stored key would hash to now; None where it is gone."""
+    name, _, symbol = key.partition("::")
+    path = os.path.join(root, name)
+    if not os.path.isfile(path):
+        return None
+    if not symbol:
+        return file_hash(path)
+    f = _file(path)
+    return _digest(f.symbols[symbol]) if f and symbol in f.symbols else None
+
+
 #: Hashes held while a run goes on, so that each class is hashed once and an edit in between doesn't split the run.
 _frozen: dict[type, dict[str, str]] | None = None
 

@@ -6,12 +6,14 @@ layout or Python version, counts as up to date and gets a new record the next ti
 
 from __future__ import annotations
 
+import contextlib
 import json
 import os
 import secrets
 import sys
 import time
 import warnings
+from collections.abc import Iterator
 from typing import Any
 
 from stepwell.plans import codeid
@@ -23,6 +25,9 @@ LAYOUT = 3
 PYTHON = f"{sys.version_info[0]}.{sys.version_info[1]}"
 FILE = ".stepwell-code-status.json"
 _stores: dict[str, dict[str, dict]] = {}
+_dirty: set[str] = set()
+_written: dict[str, float] = {}
+_held = False
 
 
 class StalenessWarning(UserWarning):
@@ -47,9 +52,32 @@ def get(task: Any) -> dict | None:
 
 
 def put(task: Any, record: dict) -> None:
-    store = _store(task.root())
-    store[task.task_id] = record
-    files.write_bytes(_path(task.root()), json.dumps(store, indent=1, sort_keys=True).encode())
+    """Keep a record. During a run the file is written at most once a second and at the end."""
+    root = task.root()
+    _store(root)[task.task_id] = record
+    _dirty.add(root)
+    if not _held or time.time() - _written.get(root, 0.0) > 1.0:
+        flush(root)
+
+
+def flush(root: str | None = None) -> None:
+    for r in [root] if root else list(_dirty):
+        files.write_bytes(_path(r), json.dumps(_stores[r], indent=1, sort_keys=True).encode())
+        _written[r] = time.time()
+        _dirty.discard(r)
+
+
+@contextlib.contextmanager
+def held() -> Iterator[None]:
+    """Gather records while a run goes on."""
+    global _held
+    before, _held = _held, True
+    try:
+        yield
+    finally:
+        _held = before
+        if not _held:
+            flush()
 
 
 def all_records(root: str | None = None) -> dict[str, dict]:
@@ -58,6 +86,7 @@ def all_records(root: str | None = None) -> dict[str, dict]:
 
 def clear_cache() -> None:
     """Forget what was read, so that the files are read again."""
+    flush()
     _stores.clear()
 
 

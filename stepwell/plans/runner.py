@@ -240,7 +240,7 @@ def build(tasks: Any, flow: str | None = None) -> RunResult:
     history.append("run_started", roots=[t.task_id for t in todo])
     codeid.freeze()
     try:
-        with traversal():
+        with traversal(), records.held():
             for t in todo:
                 run.visit(t)
     finally:
@@ -268,7 +268,7 @@ def run(
         if forced_all:
             doomed[root] = None
         for family in flatten(forced):
-            doomed |= {t: None for t in graph.find_deps(root, family) if t.complete(cascade=False) if not isinstance(t, type)}
+            doomed |= {t: None for t in graph.find_deps(root, family) if t.complete(cascade=False)}
     if doomed and confirm and input(f"Delete the outputs of {len(doomed)} tasks? (y/n) ").strip().lower() != "y":
         doomed = {}
     for t in doomed:

@@ -257,6 +257,26 @@ class TestFormats:
         assert values(sw.runLoad(T)) == [1, 2]
 
 
+    def test_models(self, spark):
+        from pyspark.ml.feature import VectorAssembler
+        from pyspark.ml.regression import LinearRegression
+
+        class Fit(sw.TaskModel):
+            def run(self):
+                df = VectorAssembler(inputCols=["x"], outputCol="f").transform(spark.createDataFrame([(float(k), 2.0 * k + 1) for k in range(9)], "x double, y double"))
+                self.save(LinearRegression(featuresCol="f", labelCol="y").fit(df))
+
+        model = sw.runLoad(Fit)
+        assert abs(model.coefficients[0] - 2) < 1e-6 and abs(model.intercept - 1) < 1e-6
+        targets._LOADED.clear()
+        assert abs(sw.Workflow(Fit).outputLoad().intercept - 1) < 1e-6
+
+    def test_orphans(self):
+        sw.Workflow(Numbers).run()
+        sw.Workflow(Numbers, {"n": 2}).run()
+        assert [p.rsplit("/", 1)[1] for p in sw.orphans(known=[Numbers()])] == [Numbers(n=2).output().path.rsplit("/", 1)[1]]
+
+
 class Leaf(sw.TaskParquet):
     state = sw.Parameter()
     size = sw.IntParameter(default=2)
@@ -542,6 +562,22 @@ class TestCode:
         flow = sw.Workflow(m.After)
         assert not flow.complete() and len(flow.accept_code(m.After())["accepted"]) == 2 and flow.complete()
 
+    def test_file_fallback_and_keys(self, tmp_path, monkeypatch):
+        m = self.load(tmp_path, monkeypatch)
+        keys = codeid.hashes(m.Calc)
+        assert set(keys) == {"helper.py::factor", "steps_mod.py::Calc"}
+        root = str(tmp_path / "src")
+        assert all(codeid.current_hash(k, root) == v for k, v in keys.items())
+        assert codeid.current_hash("helper.py::gone", root) is None and codeid.current_hash("gone.py", root) is None
+        assert set(codeid.module_hashes(f"{root}/steps_mod.py")) == {"helper.py", "steps_mod.py"}
+        (tmp_path / "src/broken.py").write_text("def (:")
+        assert len(codeid.file_hash(f"{root}/broken.py")) == 32
+
+        class Inner(sw.TaskParquet):
+            pass
+
+        assert all("::" not in k for k in codeid.hashes(Inner)) and codeid.hashes(Inner)
+
     def test_expensive_steps_stay(self, tmp_path, monkeypatch):
         m = self.load(tmp_path, monkeypatch)
         sw.Workflow(m.Calc).run()
