@@ -24,7 +24,7 @@ def same(pair, text):
     assert codec.decode(ids).decode() == tokenizer.decode(ids.tolist(), skip_special_tokens=False)
 
 
-CASES = ["", " ", "a", "  a  b\n\n\tc ", "it's we'll I'M", "<|endoftext|>", "a<|endoftext|> b<|endo", "x" * 5000, "ab" * 3000, " \x1c\x1f\x85\xa0 ​　x", "½²Ⅷ٣ ı ſ 'ſ", "日本語テキスト 🙂‍↔️ é é", "\r\n \r\n", "aaaa aaaaa aaaaaaaaaa", "....!!!??? ===== _____"]
+CASES = ["", " ", "a", "  a  b\n\n\tc ", "it's we'll I'M", "<|endoftext|>", "a<|endoftext|> b<|endo", "x" * 5000, "ab" * 3000, " \x1c\x1f\x85\xa0 ​　x", "½²Ⅷ٣ ı ſ 'ſ", "日本語テキスト 🙂‍↔️ é é", "\r\n \r\n", "aaaa aaaaa aaaaaaaaaa", "....!!!??? ===== _____", " lead", "trail ", "a\n b", "a \nb c", "\xa0 a b\u3000 c d", "one two's three\x1c four", "x  y z"]
 
 
 @pytest.mark.parametrize("text", CASES)
@@ -39,7 +39,7 @@ def test_any_text(pair, text):
 
 
 @settings(max_examples=300, deadline=None)
-@given(st.text(alphabet="abeinorst' 1\n.<|>é", max_size=120))
+@given(st.text(alphabet="abeinorst'  1\n.<|>é\xa0", max_size=120))
 def test_dense_text(pair, text):
     same(pair, text)
 
