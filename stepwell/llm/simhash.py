@@ -185,15 +185,18 @@ def links(different: DataFrame, max_bits: int = MOST_BITS) -> DataFrame:
             yield pa.RecordBatch.from_pydict({"key": pa.array(keys.ravel()), "fp": pa.array(np.repeat(fps, keys.shape[1]))})
 
     def match(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        keys, fps = np.zeros(0, np.int64), np.zeros(0, np.uint64)
+        parts, n = [(np.zeros(0, np.int64), np.zeros(0, np.uint64))], 0
         for batch in batches:
-            keys = np.concatenate([keys, batch.column("key").to_numpy()])
-            fps = np.concatenate([fps, batch.column("fp").to_numpy().view(np.uint64)])
-            if len(keys) < 1 << 20 or keys[0] == keys[-1]:
+            parts.append((batch.column("key").to_numpy(), batch.column("fp").to_numpy().view(np.uint64)))
+            n += batch.num_rows
+            first = next(k[0] for k, _ in parts if len(k))
+            if n < 1 << 20 or first == parts[-1][0][-1]:
                 continue
+            keys, fps = (np.concatenate(x) for x in zip(*parts, strict=True))
             whole = int(np.searchsorted(keys, keys[-1]))  # the last list may go on in the next batch
             yield from out(*forest(keys[:whole], fps[:whole], max_bits))
-            keys, fps = keys[whole:], fps[whole:]
+            parts, n = [(keys[whole:], fps[whole:])], len(keys) - whole
+        keys, fps = (np.concatenate(x) for x in zip(*parts, strict=True))
         if len(keys):
             yield from out(*forest(keys, fps, max_bits))
 

@@ -56,7 +56,7 @@ def test_no_labels(spark):
 
 def test_features_of_slices_are_those_of_single_texts():
     rng = random.Random(2)
-    texts = [text_of(rng, k % 2 == 0).encode() for k in range(50)] + [b"", b"a", b"ab cd", b"long " * 300_000]
+    texts = [text_of(rng, k % 2 == 0).encode() for k in range(50)] + [b"", b"a", b"ab cd", b"long " * 900_000]
     together = list(quality.features(*binaries(pa.array(texts, pa.binary()))))
     for t, f in zip(texts, together, strict=True):
         alone = next(quality.features(*binaries(pa.array([t], pa.binary()))))

@@ -55,3 +55,17 @@ def test_words_that_meet_at_a_border():
     assert counts.tolist() == [2, 0, 2]
     alone = substring.word_hashes(np.frombuffer(b"ab cd", np.uint8), np.array([0, 5]))[0]
     assert hashes[:2].tolist() == alone.tolist()
+
+
+def test_long_texts_in_pieces(monkeypatch):
+    rng = random.Random(6)
+    parts = ["".join(rng.choice("ab  \n") for _ in range(rng.randrange(n))).encode() for n in (1, 5, 50, 900, 3, 2000) * 5] + [b"x" * 700, b" ", b""]
+    data, offsets = np.frombuffer(b"".join(parts), np.uint8), np.concatenate([[0], np.cumsum([len(p) for p in parts])])
+    whole, counts = substring.word_hashes(data, offsets)
+    assert counts.tolist() == [len(p.split()) for p in parts]
+    for size in (1, 7, 100, 1000):
+        monkeypatch.setattr(substring, "PIECE_BYTES", size)
+        got, again = substring.word_hashes(data, offsets)
+        assert got.tolist() == whole.tolist() and again.tolist() == counts.tolist()
+    words = [w for p in parts for w in p.split()]
+    assert len({*zip(words, whole.tolist(), strict=True)}) == len(set(words)) == len(set(whole.tolist()))
