@@ -105,3 +105,15 @@ def hierarchy(df: DataFrame, levels: list[str], measures: dict[str, Column]) ->
         out[levels[k - 1]] = current
         current = current.groupBy(*levels[: k - 1]).agg(*[F.sum(n).alias(n) for n in measures]) if k > 1 else current
     return out
+
+
+def reach(edges: DataFrame, start: DataFrame, src: str = "src", dst: str = "dst") -> DataFrame:
+    """All nodes that edges lead to from the start nodes (one column), the start included. One join a level with the
+    nodes that are new, each level checkpointed; cycles end it, as nothing new is found."""
+    node = start.columns[0]
+    found = new = cut(start.distinct())
+    while not new.isEmpty():
+        ahead = edges.join(new, F.col(src) == F.col(node), "left_semi").select(F.col(dst).alias(node)).distinct()
+        new = cut(ahead.join(found, node, "left_anti"))
+        found = cut(found.union(new))
+    return found

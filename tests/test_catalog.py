@@ -77,8 +77,8 @@ def test_scans_are_pruned(spark, data):
     path, _ = data
     plan = catalog.topk_desc(spark, path)._jdf.queryExecution().executedPlan().toString()
     assert "ReadSchema: struct<o_orderkey:bigint,o_totalprice:double>" in plan
-    plan = catalog.frame_times_scalar(spark, path)._jdf.queryExecution().executedPlan().toString()
-    assert "PushedFilters: [IsNotNull(l_linenumber), EqualTo(l_linenumber,1)]" in plan
+    plan = catalog.filter_group_mean(spark, path)._jdf.queryExecution().executedPlan().toString()
+    assert "PushedFilters: [IsNotNull(value), GreaterThan(value,10.0)]" in plan and "ReadSchema: struct<event_type:string,value:double>" in plan
 
 
 def test_entry(spark):
