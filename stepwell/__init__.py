@@ -51,6 +51,7 @@ from stepwell.plans.task import (
     TaskData,
     TaskExcel,
     TaskExcelSingle,
+    TaskFused,
     TaskJson,
     TaskJsonLines,
     TaskMarkdown,

@@ -289,14 +289,23 @@ def fanout_concat(spark, sf):
     return ran(BalanceByNation, spark, sf).outputLoad()
 
 
+class FusedBalance(sw.TaskFused):
+    """The same fan-out as one query, stored a partition a segment."""
+
+    sf = sw.Parameter(significant=False)
+    tag = "segment"
+
+    def values(self):
+        return SEGMENTS
+
+    def build(self, values):
+        df = table(files.active(), self.sf, "customer").where(F.col("c_mktsegment").isin(*values))
+        return df.groupBy(F.col("c_mktsegment").alias("segment"), "c_nationkey").agg(F.round(F.sum("c_acctbal"), 2).alias("balance"), F.count("*").alias("n"))
+
+
 @query(_FANOUT)
 def fanout_fused(spark, sf):
-    """The same fan-out as one query: branches are values of a column, the plan doesn't grow with them."""
-    df = table(spark, sf, "customer").withColumnRenamed("c_mktsegment", "segment")
-    by = df.select("segment", "c_nationkey", "c_acctbal")
-    return relational.fused_branches(
-        by, "segment", SEGMENTS, lambda g: by.where(F.col("segment").isin(*SEGMENTS)).groupBy("segment", "c_nationkey").agg(F.round(F.sum("c_acctbal"), 2).alias("balance"), F.count("*").alias("n"))
-    )
+    return ran(FusedBalance, spark, sf).outputLoad()
 
 
 class Cell(Step):

@@ -92,12 +92,6 @@ def apply_noise(df: DataFrame, columns: list[str], seed: int = 0) -> DataFrame:
     return df.withColumns({c: F.col(c) * (F.rand(seed + k) * 2.75 + 0.25) for k, c in enumerate(columns)})
 
 
-def fused_branches(df: DataFrame, tag: str, values: list, make: Any) -> DataFrame:
-    """Branches of a fan-out as one query: the rows of the wanted values, keyed by the tag, through one aggregate. The
-    plan doesn't grow with the number of branches."""
-    return make(df.where(F.col(tag).isin(*values)).groupBy(tag))
-
-
 def hierarchy(df: DataFrame, levels: list[str], measures: dict[str, Column]) -> dict[str, DataFrame]:
     """Sums of measures at each level of a hierarchy, from the finest up: each level is made from the one below."""
     out, current = {}, df.groupBy(*levels).agg(*[F.sum(e).alias(n) for n, e in measures.items()])

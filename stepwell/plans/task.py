@@ -732,6 +732,31 @@ class TaskExcel(TaskData):
         return got[wanted[0]] if isinstance(keys, str) and not as_dict else got
 
 
+class TaskFused(TaskData):
+    """All branches of a fan-out as one query: rows keyed by a tag column, stored a partition a value. Its plan doesn't
+    grow with the number of branches, and only branches that are missing are made. Subclasses give ``tag``, ``values()``
+    and ``build(values)``, the frame of those branches with the tag as a column."""
+
+    tag = "tag"
+    target = targets.FusedTarget
+
+    def values(self) -> list:
+        raise NotImplementedError
+
+    def build(self, values: list) -> Any:
+        raise NotImplementedError
+
+    def target_of(self, name: str) -> Any:
+        return self.target(f"{self.stem()}-{name}.{self.ext}", self.tag, self.values())
+
+    def run(self) -> None:
+        self.save(self.build(self.output().missing()))
+
+    def reset_branches(self, values: list) -> None:
+        self.output().forget(values)
+        outputs_changed()
+
+
 class TaskAggregator(Task):
     """A group of tasks without an output of its own: complete when all of them are."""
 

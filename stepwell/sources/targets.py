@@ -173,6 +173,54 @@ class FrameCacheTarget(CacheTarget):
         return super().save(as_frame(data))
 
 
+class FusedTarget(FrameTarget):
+    """The branches of a fan-out in one frame, a partition for each value of a tag column. A branch is there when its
+    partition is, so branches can be added or made anew one by one; an empty branch is an empty partition."""
+
+    def __init__(self, path: Any, tag: str, values: list):
+        super().__init__(path)
+        self.tag, self.values = tag, list(values)
+
+    def partition(self, value: Any) -> str:
+        utils = files.active()._jvm.org.apache.spark.sql.catalyst.catalog.ExternalCatalogUtils
+        return utils.getPartitionPathString(self.tag, str(value))
+
+    def missing(self) -> list:
+        there = set(files.names(self.path))
+        return [v for v in self.values if self.partition(v) not in there] if SCHEMA in there else self.values
+
+    def exists(self) -> bool:
+        return not self.missing()
+
+    def read(self, **options: Any) -> DataFrame:
+        schema = StructType.fromJson(json.loads(files.read_bytes(posixpath.join(self.path, SCHEMA))))
+        df = files.active().read.schema(schema).option("basePath", located(self.path)).options(**options).parquet(located(self.path))
+        return df.where(df[self.tag].isin(*self.values))  # prunes partitions of other values
+
+    def write(self, data: Any, **options: Any) -> None:
+        """Write the branches that are missing; rows of others are left out."""
+        df, todo = as_frame(data), self.missing()
+        beside = f"{posixpath.dirname(self.path)}/_tmp.{uuid.uuid4().hex}"
+        try:
+            df.where(df[self.tag].isin(*todo)).write.options(**self.write_options, **options).partitionBy(self.tag).parquet(located(beside))
+            made = set(files.names(beside))
+            for v in todo:
+                name = self.partition(v)
+                if name in made:
+                    files.rename(f"{beside}/{name}", f"{self.path}/{name}")
+                else:
+                    files.write_bytes(f"{self.path}/{name}/_empty", b"")
+            files.write_bytes(posixpath.join(self.path, SCHEMA), json.dumps(df.schema.jsonValue()).encode())
+        finally:
+            files.delete(beside)
+
+    def forget(self, values: list) -> None:
+        """Remove some branches."""
+        for v in values:
+            files.delete(f"{self.path}/{self.partition(v)}")
+        _LOADED.pop(self.path, None)
+
+
 class JsonTarget(DataTarget):
     """Any JSON value, under the key 'data'."""
 

@@ -384,6 +384,29 @@ class TestFanOut:
         assert not flow.complete()
 
 
+    def test_fused_branches(self, spark):
+        made = []
+
+        class Fused(sw.TaskFused):
+            tag = "state"
+            states = sw.ListParameter(default=["CA", "N/Y", "none"])
+
+            def values(self):
+                return self.states
+
+            def build(self, values):
+                made.append(values)
+                return spark.createDataFrame([(s, v) for s in ("CA", "N/Y", "TX") for v in range(2)], "state string, v int")
+
+        flow = sw.Workflow(Fused)
+        flow.run()
+        assert sorted(map(tuple, flow.outputLoad().select("state", "v").collect())) == [("CA", 0), ("CA", 1), ("N/Y", 0), ("N/Y", 1)]
+        assert not flow.run().ran
+        Fused().reset_branches(["N/Y"])
+        assert not flow.complete() and flow.run().ran and flow.outputLoad().count() == 4
+        assert made == [["CA", "N/Y", "none"], ["N/Y"]]
+
+
 class TestConcat:
     def test_drift_collision_and_function(self, spark):
         a, b = spark.range(2).toDF("x"), spark.range(1).toDF("y")
