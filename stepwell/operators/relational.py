@@ -61,14 +61,17 @@ def share_of_total(df: DataFrame, column: str, by: list[str], name: str) -> Data
 
 
 def zscore(df: DataFrame, columns: list[str], suffix: str = "_z") -> DataFrame:
-    """Columns scaled to mean 0 and population deviation 1. The statistics are one row, which goes to every task."""
-    stats = df.agg(*[f(c).alias(f"_{k}_{c}") for c in columns for k, f in (("m", F.avg), ("s", F.stddev_pop))])
-    scaled = {c + suffix: (F.col(c) - F.col(f"_m_{c}")) / F.when(F.col(f"_s_{c}") != 0, F.col(f"_s_{c}")) for c in columns}
-    return df.crossJoin(F.broadcast(stats)).select(*df.columns, *[e.alias(n) for n, e in scaled.items()])
+    """Columns scaled to mean 0 and population deviation 1. The statistics are scalar subqueries, which Spark merges into
+    one aggregate."""
+    out = {}
+    for c in columns:
+        mean, deviation = df.agg(F.avg(c)).scalar(), df.agg(F.stddev_pop(c)).scalar()
+        out[c + suffix] = (F.col(c) - mean) / F.nullif(deviation, F.lit(0.0))
+    return df.withColumns(out)
 
 
 def with_global_mean(df: DataFrame, column: str, name: str) -> DataFrame:
-    return df.crossJoin(F.broadcast(df.agg(F.avg(column).alias(name))))
+    return df.withColumn(name, df.agg(F.avg(column)).scalar())
 
 
 def group_quantiles(df: DataFrame, by: list[str], column: str, quantiles: dict[str, float]) -> DataFrame:

@@ -62,7 +62,7 @@ class Workflow:
         finally:
             attached.reset(token)
 
-    def preview(self, tasks: Any = None, show_params: bool = True, clip_params: bool = False, print_it: bool = True, indent: str = "", last: bool = True) -> str:
+    def preview(self, tasks: Any = None, indent: str = "", last: bool = True, show_params: bool = True, clip_params: bool = False, print_it: bool = True) -> str:
         """The tree of tasks with their states, and inputs that are declared but not used."""
         with traversal():
             todo = self._tasks(tasks)
