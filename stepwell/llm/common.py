@@ -29,9 +29,10 @@ def cut(df: DataFrame) -> DataFrame:
 
 
 def stored(df: DataFrame) -> DataFrame:
-    """As cut(), but columnar and compressed: for tables of the size of the input."""
+    """As cut(), but columnar and compressed: for tables of the size of the input. Row groups are small, as a task that
+    writes holds one in memory beside its Python worker."""
     path = f"{shared_dir(df.sparkSession)}/table-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.option("parquet.block.size", 32 << 20).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 

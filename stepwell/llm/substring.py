@@ -35,7 +35,7 @@ from stepwell.llm.common import binaries, mixed
 UNIT_BYTES = 4 << 20
 BUCKET_HASHES = 3_000_000
 #: Text hashed at a time.
-PIECE_BYTES = 1 << 21
+PIECE_BYTES = 1 << 18
 
 _U = np.uint64
 #: Odd multipliers of the polynomials over bytes and over words, and a random value for each byte.
