@@ -211,23 +211,29 @@ def links(different: DataFrame, max_bits: int = MOST_BITS) -> DataFrame:
 # ----------------------------------------------------------------------------------------------- components
 
 
+def _splittable(rows: str, per: str):
+    """Equality of a column with that of an aggregate, with its hash as a second key: the aggregate's own partitioning
+    then doesn't do for the join, so both sides get a plain exchange, of which adaptive execution splits hot parts."""
+    return (F.col(rows) == F.col(per)) & (F.xxhash64(rows) == F.xxhash64(per))
+
+
 def components(edges: DataFrame) -> DataFrame:
     """(node, root) for every node of the links (a, b): root is the smallest node of its component.
 
     Large-star and small-star steps in turn until nothing changes: every step links a node's neighbours to the smallest
     of them, the links of a step are never more than before plus one a node, and the number of steps grows with the
     logarithm of the longest path. A node with very many neighbours is aggregated before the shuffle; the join that
-    hands its minimum back to them is one that Spark can split."""
+    hands its minimum back to them is one that Spark can split (_splittable)."""
     edges = edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
     edges = cut(edges)
     state = None
     while True:
         both = edges.union(edges.select("b", "a"))
         least = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m")).select(F.col("a").alias("u"), "m")
-        large = both.where("b > a").join(least, F.col("a") == F.col("u")).select(F.col("b").alias("a"), F.col("m").alias("b"))
+        large = both.where("b > a").join(least, _splittable("a", "u")).select(F.col("b").alias("a"), F.col("m").alias("b"))
         large = large.where("a <> b").distinct()
         lowest = large.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("u"), "m")
-        small = large.join(lowest, F.col("a") == F.col("u")).select(F.col("b").alias("a"), F.col("m").alias("b"))
+        small = large.join(lowest, _splittable("a", "u")).select(F.col("b").alias("a"), F.col("m").alias("b"))
         small = small.union(lowest.select("u", "m")).where("a <> b").distinct()
         edges = cut(small)
         now = edges.agg(F.count("*").alias("n"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)")).alias("h")).first()
