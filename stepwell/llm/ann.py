@@ -34,8 +34,9 @@ POSTED = 128
 ASKED = 64
 #: Share of a segment that is reranked, and its least number.
 RERANKED, RERANKED_LEAST = 0.08, 256
+#: The index is sent once a chunk of queries, the queries once a segment: with both of like size neither dominates.
 SEGMENT = 8192
-QUERY_CHUNK = 512
+QUERY_CHUNK = 8192
 
 
 def clean(vectors: DataFrame, id_column: str = "vec_id", vector_column: str = "embedding") -> DataFrame:

@@ -32,7 +32,7 @@ from stepwell.llm.common import cut, smallest_hashes, stored
 
 BLOCK = 128
 GROUP_BLOCKS = 64
-QUERY_CHUNK = 1024
+QUERY_CHUNK = 8192
 PIVOTS = 64
 SCALE = 1024
 _LIMIT = 1 << 53
