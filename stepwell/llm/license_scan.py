@@ -2,7 +2,9 @@
 
 Templates are short licence notices, as words, each with key phrases that must stand in a file. The index maps every
 licence word (words of templates but for a few function words) to its postings (template, position). A file's licence
-words are ranked by inverse document frequency, counted over all documents; the ``RARE`` highest are looked up. Every
+words are ranked by inverse document frequency, counted over all documents. For each template the highest of its
+own are looked up, as many as must hold ``AGREE`` different ones in place wherever the coverage is reached (see anchors), so
+the rest need no look and no template hides another. Every
 occurrence at file position d of a word posted at template position p votes for the template starting at d - p: posting
 lists intersected by relative position. A start on which enough different words agree is verified: the template's key
 phrases must stand, word by word, near their places, and the share of template words found in place gives the coverage.
@@ -26,8 +28,8 @@ from pyspark.sql import functions as F
 
 from stepwell.llm.common import text_bytes
 
-#: Licence words looked up for a file, and the least number of them that must agree on a start.
-RARE, AGREE = 12, 2
+#: The least number of different licence words that must agree on a start.
+AGREE = 2
 #: Coverage from which a template gives its label; how far a key phrase may stand from its place.
 COVERAGE, SLACK = 0.6, 3
 #: Positions of one word looked at in a file are all its positions; a word of more than this many is looked up only if
@@ -119,20 +121,41 @@ class Index:
         present = self.postings.keys() & set(words)
         if len(present) < AGREE:
             return {}
-        rare = sorted(present, key=lambda w: (-self.weight.get(w, 0.0), w))[:RARE]
-        wanted, where = set(rare), defaultdict(list)
+        have, anchors = set(words), {}
+        for t in range(len(self.templates)):
+            if len(found := self.anchors(t, have)) >= AGREE:
+                anchors[t] = found
+        wanted, where = set().union(*anchors.values()), defaultdict(list)
         for d, w in enumerate(words):
             if w in wanted:
                 where[w].append(d)
-        found = self._verified(words, {w: d for w, d in where.items() if len(d) <= MANY})
-        return found or (self._verified(words, where) if any(len(d) > MANY for d in where.values()) else {})
-
-    def _verified(self, words: list[bytes], where: dict[bytes, list[int]]) -> dict[str, float]:
+        found = self._verified(words, anchors, {w: d for w, d in where.items() if len(d) <= MANY})
+        return found or (self._verified(words, anchors, where) if any(len(d) > MANY for d in where.values()) else {})
+
+    def anchors(self, t: int, have: set[bytes]) -> set[bytes]:
+        """The rarest licence words of a template, as many as any start of enough coverage must hold AGREE of: more of
+        their places than may be missed remain without the AGREE - 1 words of most places. None where the words of a
+        file can't reach the coverage; all that the file has where they don't suffice for this."""
+        template = self.templates[t][1]
+        size = len(template)
+        missed = max(n for n in range(size + 1) if (size - n) / size >= COVERAGE) - sum(w not in have for w in template)
+        if missed < 0:
+            return set()
+        places = Counter(w for w in template if w in self.postings and w in have)
+        chosen: list[bytes] = []
+        for w in sorted(places, key=lambda w: (-self.weight.get(w, 0.0), w)):
+            chosen.append(w)
+            if sum(sorted(places[c] for c in chosen)[: len(chosen) - AGREE + 1]) > missed and len(chosen) >= AGREE:
+                break
+        return set(chosen)
+
+    def _verified(self, words: list[bytes], anchors: dict[int, set[bytes]], where: dict[bytes, list[int]]) -> dict[str, float]:
         votes: dict[tuple[int, int], set[bytes]] = defaultdict(set)
         for w, places in where.items():
             for t, p in self.postings[w]:
-                for d in places:
-                    votes[t, d - p].add(w)
+                if w in anchors.get(t, ()):
+                    for d in places:
+                        votes[t, d - p].add(w)
         found: dict[str, float] = {}
         for (t, start), agreed in votes.items():
             if len(agreed) < AGREE:

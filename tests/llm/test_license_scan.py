@@ -78,3 +78,18 @@ def test_a_word_in_very_many_places(monkeypatch):
     text = b"license " * 50 + b"released under the mit license"
     assert set(index.matches(L.words_of(text))) == {"mit"}
     assert set(index.matches(L.words_of(b"mit license " * 10 + b" released under the mit license"))) == {"mit"}
+
+
+def test_files_with_several_long_notices(spark):
+    notice = {}
+    for label, template, _ in L.TEMPLATES:
+        notice.setdefault(label, []).append(template)
+    apache, mit, isc, gpl = notice["apache-2.0"], notice["mit"][1], notice["isc"][0], notice["gpl"][0]
+    texts = [f"{mit}\n\n{apache[0]}", f"x {apache[1]} y {mit} z {isc}", f"{gpl} {isc} {mit} {apache[0]}", " or ".join(t for label in notice for t in notice[label])]
+    # Common words of some notices, none of others: the others' words are the rarest.
+    common = [f"{apache[0]} {k}" for k in range(40)]
+    docs = spark.createDataFrame([(k, t, "clash", 9) for k, t in enumerate(texts + common)], ROWS)
+    got = {r.doc_id: r for r in L.as_query(L.scan(docs)).collect()}
+    assert got[0].labels == "apache-2.0,mit"
+    for k, t in enumerate(texts):
+        assert (got[k].labels, round(got[k].score, 9)) == plain(t)[5:]
