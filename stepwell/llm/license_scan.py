@@ -17,6 +17,7 @@ phrase may overlap; all count. The score is the highest coverage of a labelled t
 
 from __future__ import annotations
 
+from bisect import bisect_left
 from collections import Counter, defaultdict
 from collections.abc import Iterator
 from dataclasses import dataclass, field
@@ -32,8 +33,7 @@ from stepwell.llm.common import text_bytes
 AGREE = 2
 #: Coverage from which a template gives its label; how far a key phrase may stand from its place.
 COVERAGE, SLACK = 0.6, 3
-#: Positions of one word looked at in a file are all its positions; a word of more than this many is looked up only if
-#: the others leave the file without a start (it can't be rare in it).
+#: Starts voted on at a time: votes need memory for so many, however long a file is and however often a word stands in it.
 MANY = 2000
 
 #: A-Z become a-z; a-z, 0-9 and bytes of characters beyond ASCII stay; the rest separates words.
@@ -129,8 +129,7 @@ class Index:
         for d, w in enumerate(words):
             if w in wanted:
                 where[w].append(d)
-        found = self._verified(words, anchors, {w: d for w, d in where.items() if len(d) <= MANY})
-        return found or (self._verified(words, anchors, where) if any(len(d) > MANY for d in where.values()) else {})
+        return self._verified(words, anchors, where)
 
     def anchors(self, t: int, have: set[bytes]) -> set[bytes]:
         """The rarest licence words of a template, as many as any start of enough coverage must hold AGREE of: more of
@@ -150,24 +149,24 @@ class Index:
         return set(chosen)
 
     def _verified(self, words: list[bytes], anchors: dict[int, set[bytes]], where: dict[bytes, list[int]]) -> dict[str, float]:
-        votes: dict[tuple[int, int], set[bytes]] = defaultdict(set)
-        for w, places in where.items():
-            for t, p in self.postings[w]:
-                if w in anchors.get(t, ()):
-                    for d in places:
-                        votes[t, d - p].add(w)
         found: dict[str, float] = {}
-        for (t, start), agreed in votes.items():
-            if len(agreed) < AGREE:
-                continue
+        for t, chosen in anchors.items():
             label, template, keys = self.templates[t]
-            if not all(self._stands(words, start + at, key) for at, key in keys):
-                continue
-            lo = max(0, start)
-            hits = sum(a == b for a, b in zip(template[lo - start :], words[lo : start + len(template)], strict=False))
-            coverage = hits / len(template)
-            if coverage >= COVERAGE:
-                found[label] = max(found.get(label, 0.0), coverage)
+            posted = [(w, p) for w in chosen for at, p in self.postings[w] if at == t]
+            for block in range(1 - len(template), len(words), MANY):
+                votes: dict[int, set[bytes]] = defaultdict(set)
+                for w, p in posted:
+                    places = where[w]
+                    for d in places[bisect_left(places, block + p) : bisect_left(places, block + MANY + p)]:
+                        votes[d - p].add(w)
+                for start, agreed in votes.items():
+                    if len(agreed) < AGREE or not all(self._stands(words, start + at, key) for at, key in keys):
+                        continue
+                    lo = max(0, start)
+                    hits = sum(a == b for a, b in zip(template[lo - start :], words[lo : start + len(template)], strict=False))
+                    coverage = hits / len(template)
+                    if coverage >= COVERAGE:
+                        found[label] = max(found.get(label, 0.0), coverage)
         return found
 
     @staticmethod

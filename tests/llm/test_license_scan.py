@@ -93,3 +93,15 @@ def test_files_with_several_long_notices(spark):
     assert got[0].labels == "apache-2.0,mit"
     for k, t in enumerate(texts):
         assert (got[k].labels, round(got[k].score, 9)) == plain(t)[5:]
+
+
+def test_a_frequent_line_beside_another_notice(monkeypatch):
+    index = L.Index.of()
+    text = b"Released under the MIT License. " * 2001 + b"Licensed under the GNU Affero General Public License"
+    assert set(index.matches(L.words_of(text))) == {"mit", "agpl"}
+    for many in (1, 3, 7):  # a notice may lie across the ends of blocks
+        monkeypatch.setattr(L, "MANY", many)
+        for t in cases():
+            got = index.matches(L.words_of((t or "").encode()))
+            base = {label for _, label in L.PHRASES}
+            assert set(got) | base == set(filter(None, plain(t)[5].split(","))) | base
