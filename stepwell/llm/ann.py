@@ -8,8 +8,8 @@ POSTED); the vectors of least footrule are reranked by their cosine in double pr
 In Spark the index is cut into segments of bounded size by a hash of the vector; a segment is one row with its vectors
 and its files as arrays (a pivot's postings side by side). Every query meets every segment in chunks of queries and
 leaves the k best of each, which are merged per query. All rows are indexed; only the pivots are a sample: the
-``PIVOTS`` vectors of smallest hashed id. Equal vectors are one entry with their k + 1 smallest ids, thinned before the
-shuffle.
+``PIVOTS`` vectors of smallest hashed id. Equal vectors are one entry with their k + 1 smallest different ids, each
+as often as rows hold it (up to k + 1 times), thinned before the shuffle.
 
 Recall of the 5 nearest against brute force, on vectors without any structure (64 dimensions), is given in the README
 and tested.

@@ -12,8 +12,8 @@ and every (chunk, group) cell is one call. A first round sends each chunk to the
 largest bounds and so finds a lower limit of every query's kth score; the second visits all other groups, where only
 queries whose group bound reaches the limit are sent at all. Partial lists of k rows are merged per query.
 
-Equal vectors are one candidate with their k + 1 smallest ids (no other id of the class can appear), aggregated before
-the shuffle, so a vector that a third of all rows hold costs as much as one.
+Equal vectors are one candidate with their k + 1 smallest different ids, each as often as rows hold it, up to k + 1 times
+(no other id of the class can appear, whichever id asks and is left out), thinned before the shuffle, so a vector that a third of all rows hold costs as much as one.
 
 Defined results: vectors that are null, empty, or hold null or non-finite components take no part, nor do rows without
 id. Vectors of different length are compared as if padded with zeros. A repeated id counts as so many rows, of which
@@ -142,12 +142,15 @@ def build_groups(vectors: DataFrame, rows: int, width: int, k: int) -> DataFrame
 
 
 def classes(vectors: DataFrame, few: int) -> DataFrame:
-    """(v, ids): different vectors with their few smallest ids. Ids of a vector are thinned within 64 salts first, so a
-    vector that very many rows hold is never gathered in one task."""
+    """(v, ids): different vectors with the rows of their few smallest different ids, at most few rows an id. Ids of a
+    vector are thinned within 64 salts first, so a vector that very many rows hold is never gathered in one task."""
     salted = vectors.select("v", "id", F.pmod(F.xxhash64("id"), F.lit(64)).alias("salt"))
-    first = Window.partitionBy("v", "salt").orderBy("id")
-    thin = salted.withColumn("r", F.row_number().over(first)).where(F.col("r") <= few)
-    return thin.groupBy("v").agg(F.slice(F.array_sort(F.collect_list("id")), 1, few).alias("ids"))
+    ids, rows = Window.partitionBy("v", "salt").orderBy("id"), Window.partitionBy("v", "salt", "id").orderBy("id")
+    thin = salted.withColumn("r", F.dense_rank().over(ids)).where(F.col("r") <= few)
+    thin = thin.withColumn("n", F.row_number().over(rows)).where(F.col("n") <= few)
+    every = thin.groupBy("v").agg(F.array_sort(F.collect_list("id")).alias("ids"))
+    smallest = F.slice(F.array_distinct("ids"), 1, few)
+    return every.select("v", F.filter("ids", lambda x: x <= F.array_max(smallest)).alias("ids"))
 
 
 def top_k(candidates: DataFrame, queries: DataFrame, k: int = 10) -> DataFrame:

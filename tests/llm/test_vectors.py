@@ -120,3 +120,16 @@ def test_recall(spark):
         s[q] = -2
         found += len({*np.argsort(-s)[:5].tolist()} & {r.vec_id for r in got if r.query_id == q})
     assert len(got) == 600 and found / 600 >= 0.95
+
+
+def test_repeated_query_rows_leave_the_others_of_their_class(spark):
+    """Four rows hold the asking id, fifteen others its vector, two of them one id."""
+    same, far = [1.0, 2.0, 3.0], [0.5, 0.1, 0.2]
+    rows = [(0, same)] * 4 + [(k, same) for k in range(1, 15)] + [(3, same)] + [(k, far) for k in range(20, 40)]
+    for module, find, k in ((topk, topk.top_k, 10), (ann, ann.nearest, 5)):
+        vectors = module.clean(frame(spark, rows))
+        got = find(vectors, vectors.where("id = 0"), k).orderBy("rank").collect()
+        assert [r.vec_id for r in got] == [1, 2, 3, 3, 4, 5, 6, 7, 8, 9][:k]
+        assert len({r.score for r in got}) == 1
+        got = find(vectors, vectors.where("id = 9"), k).orderBy("rank").collect()
+        assert [r.vec_id for r in got] == [0, 0, 0, 0, 1, 2, 3, 3, 4, 5][:k]
