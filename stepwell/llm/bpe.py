@@ -39,8 +39,9 @@ ASCII_PIECES = r"'(?:[stmd]|re|ve|ll)| ?[A-Za-z]+| ?[0-9]+| ?[^\t-\r A-Za-z0-9]+
 #: A slice of a long text ends before a blank between two ASCII letters: a piece always begins at such a blank.
 SLICE = 1 << 20
 JOINT = regex.compile(r"(?<=[A-Za-z])(?= [A-Za-z])")
-#: Pieces remembered by a worker in each of two generations (some 200 bytes each), and the longest piece remembered.
-REMEMBERED, REMEMBERED_LETTERS = 200_000, 64
+#: Pieces remembered by a worker in each of two generations (some 200 bytes each), fewer where the library encodes the
+#: others, and the longest piece remembered.
+REMEMBERED, REMEMBERED_BY_LIBRARY, REMEMBERED_LETTERS = 200_000, 50_000, 64
 
 
 def byte_letters() -> list[str]:
@@ -186,7 +187,7 @@ class Codec:
             found = self.library._encode_single_piece(data) if self.library else self.encode_piece(data)
             ids = struct.pack(f"<{len(found)}I", *found)
         if len(piece) <= REMEMBERED_LETTERS:
-            if len(self.younger) >= REMEMBERED:
+            if len(self.younger) >= (REMEMBERED_BY_LIBRARY if self.library else REMEMBERED):
                 self.older = dict(self.younger)
                 self.younger.clear()
             self.younger[piece] = ids

@@ -27,7 +27,7 @@ from itertools import combinations, islice
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
 from stepwell.llm.common import cut, text_bytes
@@ -93,12 +93,25 @@ def fingerprints(docs: DataFrame, width: int = 4, id_column: str = "doc_id", tex
 # ---------------------------------------------------------------------------------------------------- links
 
 
+def differing_bytes(x: np.ndarray) -> np.ndarray:
+    """From XORs: how many of the eight positional bytes differ."""
+    x = x | x >> np.uint64(4)
+    x |= x >> np.uint64(2)
+    x |= x >> np.uint64(1)
+    return np.bitwise_count(x & np.uint64(0x0101010101010101))
+
+
+def _near(x: np.ndarray, max_bits: int) -> np.ndarray:
+    """From XORs: the places of the pairs to link. The tally of shared bytes first: it keeps those that reach the minimum
+    which max_bits guarantees; of these the differing bits are counted."""
+    kept = np.flatnonzero(8 - differing_bytes(x) >= 8 - max_bits)
+    return kept[np.bitwise_count(x[kept]) <= max_bits]
+
+
 def _first_shared(x: np.ndarray) -> np.ndarray:
-    """From XORs: the index of the place triple of the first three equal bytes, -1 where fewer than 3 of 7 are equal
-    or fewer than 4 of 8 (the tally)."""
+    """From XORs: the index of the place triple of the first three equal bytes, -1 where fewer than 3 of 7 are equal."""
     same = x.view(np.uint8).reshape(-1, 8) == 0
-    code = same[:, :PLACES] @ (1 << np.arange(PLACES))
-    return np.where(same.sum(axis=1) >= 8 - MOST_BITS, _TRIPLE_OF[code], -1)
+    return _TRIPLE_OF[same[:, :PLACES] @ (1 << np.arange(PLACES))]
 
 
 _TRIPLE_OF = np.array(
@@ -116,7 +129,7 @@ def _grown(fps: np.ndarray, triple: int, max_bits: int) -> tuple[np.ndarray, np.
         while front and len(rest):
             at = front.pop()
             x = rest ^ at
-            near = np.flatnonzero(np.bitwise_count(x) <= max_bits)
+            near = _near(x, max_bits)
             if len(near):
                 near = near[_first_shared(x[near]) == triple]
             if len(near):
@@ -160,7 +173,7 @@ def forest(keys: np.ndarray, fps: np.ndarray, max_bits: int) -> tuple[np.ndarray
         if not len(at):
             break
         x = fps[at] ^ fps[at + shift]
-        near = np.flatnonzero(np.bitwise_count(x) <= max_bits)
+        near = _near(x, max_bits)
         near = near[_first_shared(x[near]) == keys[at[near]] >> 24]
         left.append(fps[at[near]])
         right.append(fps[at[near] + shift])
@@ -235,8 +248,10 @@ def components(edges: DataFrame) -> DataFrame:
         lowest = large.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("u"), "m")
         small = large.join(lowest, _splittable("a", "u")).select(F.col("b").alias("a"), F.col("m").alias("b"))
         small = small.union(lowest.select("u", "m")).where("a <> b").distinct()
-        edges = cut(small)
-        now = edges.agg(F.count("*").alias("n"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)")).alias("h")).first()
+        # Counted by the step itself, as it is written; a task that ran twice can only cost another step.
+        seen = Observation()
+        edges = cut(small.observe(seen, F.count("*").alias("n"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)")).alias("h")))
+        now = seen.get
         if now == state or not now["n"]:
             break
         state = now
