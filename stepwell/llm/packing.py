@@ -7,11 +7,13 @@ stand at that level. An item goes where the sum of the squared counts becomes le
 2 (N[h + w] - N[h] + 1), less where h + w closes the window or h opens one. Ties go to the fullest window. The choice is
 one NumPy pass over the level array.
 
-A task packs the documents of its partition and never shuffles. When it ends, some windows are still open. Those whose
-fill is a power of two are kept, as they need no padding; the others are dissolved, their pieces are laid end to end
-and cut into full windows, and the last rest into pieces of powers of two. So the only cost of the end of a partition
-is a few more cuts. A partition's windows carry its number in their id, so ids are unique and a lost task gives the
-same rows again.
+A task packs the documents of its partition and never shuffles. When it ends, some windows are still open. The emptiest
+of them is taken apart and its pieces are placed in the others by the same rule, until one is left. A piece for which
+no window has room is cut, so that it closes a window: the level is again the one that makes the sum of squares least
+(closing a window at level h changes it by 1 - 2 N[h]), and the rest is placed as a piece of its own. The pieces of the
+one window left, less than a window for a partition, go into windows of powers of two, which need no padding. So the
+cost of a partition's end is some cuts. A partition's windows carry its number in their id, so ids are unique and a
+lost task gives the same rows again.
 
 Defined results: null and empty text have the end id alone. Rows with equal ids are packed row by row. An empty table
 gives no rows. Every id lies in exactly one piece; pieces of a document appear in order of ``start``.
@@ -33,8 +35,8 @@ from stepwell.llm.common import text_bytes
 
 SIZE = 2048
 END_ID = 1
-#: Ids in open windows beyond which they are all closed as at the end of a partition, so that memory stays bounded even
-#: where no two documents fit into one window.
+#: Ids in open windows beyond which the emptiest are taken apart, so that memory stays bounded even where no two documents
+#: fit into one window.
 OPEN_IDS = 8 << 20
 #: Bits of a window's id that count within a partition.
 WINDOW_BITS = 40
@@ -47,7 +49,7 @@ class Packer:
         self.size = size
         self.levels = np.zeros(size + 1, np.int64)
         self.open: dict[int, list[int]] = defaultdict(list)  # windows at each level
-        self.contents: dict[int, list[tuple[int, int, int]]] = {}
+        self.contents: dict[int, list[tuple[int, int, int]]] = {}  # pieces of each open window
         self.windows = 0
         self.waiting = 0  # ids in open windows
 
@@ -55,8 +57,8 @@ class Packer:
         self.windows += 1
         return self.windows - 1
 
-    def level_for(self, w: int) -> int:
-        """The level of the window that takes an item of w, 0 for a new one."""
+    def level_for(self, w: int, new: bool = True) -> int:
+        """The level of the window that takes an item of w, 0 for a new one (or for none, where a new one may not be)."""
         n, size = self.levels, self.size
         top = size - w
         if top < 1:
@@ -66,6 +68,8 @@ class Packer:
         change[top - 1] = 1 - 2 * n[top]
         change = np.where(n[1 : top + 1] > 0, change, np.iinfo(np.int64).max)
         best = top - 1 - int(np.argmin(change[::-1]))
+        if not new:
+            return best + 1 if n[best + 1] else 0
         return best + 1 if change[best] <= 2 * n[w] + 1 else 0
 
     def add(self, doc: int, length: int) -> Iterator[tuple[int, int, int, int, int]]:
@@ -78,23 +82,25 @@ class Packer:
         if not w:
             return
         level = self.level_for(w)
-        if level:
-            window = self.open[level].pop()
-            self.levels[level] -= 1
-        else:
-            window = self._new()
-            self.contents[window] = []
-        self.contents[window].append((doc, start, w))
-        level += w
-        self.waiting += w
+        yield from self._put(self._take(level) if level else self._new(), level, doc, start, w)
+        while self.waiting > OPEN_IDS:
+            yield from self._dissolve()
+
+    def _put(self, window: int, level: int, doc: int, start: int, length: int) -> Iterator[tuple[int, int, int, int, int]]:
+        """Lay a piece into a window taken from that level; yields the window if that makes it full."""
+        self.contents.setdefault(window, []).append((doc, start, length))
+        self.waiting += length
+        level += length
         if level == self.size:
             self.waiting -= level
             yield from self._close(window)
         else:
             self.open[level].append(window)
             self.levels[level] += 1
-        if self.waiting > OPEN_IDS:
-            yield from self.finish()
+
+    def _take(self, level: int) -> int:
+        self.levels[level] -= 1
+        return self.open[level].pop()
 
     def _close(self, window: int) -> Iterator[tuple[int, int, int, int, int]]:
         offset = 0
@@ -102,33 +108,47 @@ class Packer:
             yield window, offset, doc, start, length
             offset += length
 
+    def _dissolve(self) -> Iterator[tuple[int, int, int, int, int]]:
+        """Take the emptiest open window apart and place its pieces in the others by the same rule. A piece that no window
+        has room for is cut to close the window whose closing makes the sum of squares least; the rest is placed in turn."""
+        level = int(np.flatnonzero(self.levels)[0])
+        window = self._take(level)
+        self.waiting -= level
+        for doc, start, length in sorted(self.contents.pop(window), key=lambda x: -x[2]):
+            while length:
+                level = self.level_for(length, new=False)
+                n = length
+                if not level and self.levels.any():
+                    level = self._to_close()
+                    n = self.size - level
+                yield from self._put(self._take(level) if level else self._new(), level, doc, start, n)
+                start += n
+                length -= n
+
+    def _to_close(self) -> int:
+        """The level whose window, when closed, lowers the sum of squares most: the fullest of those with most windows."""
+        return self.size - int(np.argmax(self.levels[::-1]))
+
     def finish(self) -> Iterator[tuple[int, int, int, int, int]]:
-        """The windows still open: those at a power of two as they are, the others dissolved and cut anew."""
-        loose: list[tuple[int, int, int]] = []
-        for level in range(1, self.size):
-            for window in self.open[level]:
-                if level & (level - 1) == 0:
-                    yield from self._close(window)
-                else:
-                    loose += self.contents.pop(window)
-        self.levels[:] = 0
-        self.open.clear()
-        self.waiting = 0
-        rest = sum(x[2] for x in loose)
-        loose.sort()
-        k = used = 0
-        while rest:
-            room = self.size if rest >= self.size else 1 << rest.bit_length() - 1
-            rest -= room
-            window, offset = self._new(), 0
-            while offset < room:
-                doc, start, length = loose[k]
-                n = min(length - used, room - offset)
-                yield window, offset, doc, start + used, n
-                offset += n
-                used += n
-                if used == length:
-                    k, used = k + 1, 0
+        """Place what is in open windows into ever fewer of them, until all but one are full. That last one's pieces go
+        into windows at powers of two."""
+        while self.levels.sum() > 1:
+            yield from self._dissolve()
+        for level in np.flatnonzero(self.levels):
+            rest = int(level)
+            loose = self.contents.pop(self._take(rest))
+            self.waiting = 0
+            while rest:
+                room = 1 << rest.bit_length() - 1
+                rest -= room
+                window, offset = self._new(), 0
+                while offset < room:
+                    doc, start, length = loose.pop(0)
+                    n = min(length, room - offset)
+                    yield window, offset, doc, start, n
+                    offset += n
+                    if n < length:
+                        loose.insert(0, (doc, start + n, length - n))
 
 
 def pack_documents(

@@ -94,3 +94,50 @@ def test_frame(spark):
             at += length
         assert packing.padding(at) == 0
     assert packing.pack_documents(docs.limit(0), PATH).count() == 0
+
+
+class Watched(packing.Packer):
+    """Counts ids laid down by the rule, those laid down a second time, and holds every cut against the definition."""
+
+    placed = again = cuts = 0
+
+    def _put(self, window, level, doc, start, length):
+        self.placed += length
+        return super()._put(window, level, doc, start, length)
+
+    def _dissolve(self):
+        self.again += int(np.flatnonzero(self.levels)[0])
+        return super()._dissolve()
+
+    def _to_close(self):
+        self.cuts += 1
+        n = self.levels[1 : self.size].astype(int)
+        squares = {h + 1: int((n**2).sum() - n[h] ** 2 + (n[h] - 1) ** 2) for h in np.flatnonzero(n)}
+        level = super()._to_close()
+        assert squares[level] == min(squares.values()) and level == max(h for h, x in squares.items() if x == squares[level])
+        return level
+
+
+@pytest.mark.parametrize("sf", ["0.01", "0.1"])
+@pytest.mark.parametrize("partitions", [1, 4, 8])
+def test_nearly_all_ids_are_placed_by_the_rule(spark, sf, partitions):
+    rows = spark.read.parquet(f"/root/testdata/sf{sf}/documents.parquet").selectExpr("cast(greatest(n_chars, 0) / 4 as int) + 1 as n").collect()
+    lengths = [r.n for r in rows]
+    step = -(-len(lengths) // partitions)
+    placed = partial = cuts = 0
+    for k in range(0, len(lengths), step):
+        part = lengths[k : k + step]
+        packer = Watched()
+        pieces = [p for d, n in enumerate(part) for p in packer.add(d, n)] + list(packer.finish())
+        assert check(pieces, part, 2048) == 0
+        whole = sum(n // 2048 * 2048 for n in part)
+        partial += sum(part) - whole
+        placed += packer.placed - packer.again
+        cuts += packer.cuts
+        rest = sum(n for *_, n in pieces) % 2048
+        assert sum(part) - whole - (packer.placed - packer.again) == 0 and rest < 2048
+        sizes = defaultdict(int)
+        for w, _, _, _, n in pieces:
+            sizes[w] += n
+        assert sum(n < 2048 for n in sizes.values()) <= 11  # the last rest of a partition
+    assert placed >= 0.95 * partial and cuts <= 0.3 * len(lengths)
