@@ -57,6 +57,12 @@ def read_vocabulary(path: str) -> bytes:
         return f.read()
 
 
+def vocabulary_size(vocabulary: bytes) -> int:
+    """One more than the largest id."""
+    spec = json.loads(vocabulary)
+    return max([*spec["model"]["vocab"].values(), *(t["id"] for t in spec.get("added_tokens", []))]) + 1
+
+
 class Codec:
     """Encoder and decoder of one byte-level BPE vocabulary, given as the JSON of the tokenizers library."""
 
