@@ -6,7 +6,12 @@ Queries that run steps do so under a folder of their own in the shared checkpoin
 from __future__ import annotations
 
 import contextlib
+import datetime
+import enum
 import json
+import os
+import shutil
+import tempfile
 import uuid
 from collections.abc import Callable, Iterator
 from functools import reduce
@@ -85,7 +90,11 @@ def _round_trip(target: type, ext: str):
     def run(spark: SparkSession, sf: str) -> DataFrame:
         t = target(f"{scratch(spark)}/customer.{ext}")
         t.save(table(spark, sf, "customer"))
-        return t.load()
+        loaded = t.load()
+        if ext == "cache":
+            loaded = files.cut(loaded)  # so that what is held in memory can go
+            t.invalidate()
+        return loaded
 
     return run
 
@@ -308,6 +317,40 @@ def fanout_fused(spark, sf):
     return ran(FusedBalance, spark, sf).outputLoad()
 
 
+class FusedLines(sw.TaskFused):
+    """Branches by a tag of any type, null included."""
+
+    sf = sw.Parameter(significant=False)
+    kind = sw.ChoiceParameter(choices=["boolean", "double", "date", "text"], default="boolean")
+    tag = "tag"
+
+    def values(self):
+        return {
+            "boolean": [True, False, None],
+            "double": [1e-07, 2.5, 1e20, None],
+            "date": [datetime.date(2024, 2, 29), datetime.date(1999, 12, 31), None],
+            "text": ["a/b=c", "ö %:x", "none here", None],
+        }[self.kind]
+
+    def build(self, values):
+        chosen = {"boolean": ("true", "false"), "double": ("1e-07D", "2.5D"), "date": ("date'2024-02-29'", "date'1999-12-31'"), "text": ("'a/b=c'", "'ö %:x'")}[self.kind]
+        tag = F.expr(f"case l_linenumber % 3 when 0 then {chosen[0]} when 1 then {chosen[1]} end")
+        return table(files.active(), self.sf, "lineitem").select("l_orderkey", "l_linenumber", tag.alias("tag"))
+
+
+@query(
+    """
+with k as (select l_orderkey, l_linenumber, l_linenumber % 3 as m from lineitem)
+select kind, l_orderkey, l_linenumber, case when m = 2 then null else v end as tag from k join (values
+  ('boolean', 0, 'true'), ('boolean', 1, 'false'), ('boolean', 2, ''), ('double', 0, '1.0E-7'), ('double', 1, '2.5'), ('double', 2, ''),
+  ('date', 0, '2024-02-29'), ('date', 1, '1999-12-31'), ('date', 2, ''), ('text', 0, 'a/b=c'), ('text', 1, 'ö %:x'), ('text', 2, '')) t(kind, n, v) on m = n
+"""
+)
+def fanout_fused_types(spark, sf):
+    parts = [ran(FusedLines, spark, sf, kind=k).outputLoad().select(F.lit(k).alias("kind"), "l_orderkey", "l_linenumber", F.col("tag").cast("string").alias("tag")) for k in ("boolean", "double", "date", "text")]
+    return reduce(DataFrame.union, parts)
+
+
 class Cell(Step):
     segment = sw.Parameter()
     status = sw.Parameter()
@@ -567,17 +610,33 @@ def graph_reach(spark, sf):
 
 def _log(spark, sf):
     """The events table in the columns of a run history."""
-    kinds = {"view": "task_ran", "purchase": "task_ran", "click": "task_ran", "signup": "code_warning", "error": "task_failed"}
+    kinds = {"view": "task_ran", "purchase": "code_accepted", "click": "task_ran", "signup": "code_warning", "error": "task_failed"}
     e = table(spark, sf, "events")
     named = F.create_map(*[F.lit(x) for kv in kinds.items() for x in kv])
-    return e.select(F.col("event_id").alias("id"), "ts", F.element_at(named, F.col("event_type")).alias("type"), F.col("user_id").alias("task_id"), F.col("event_type").alias("family"))
+    family = F.concat(F.lit("f"), (F.col("event_id") % 997).cast("string"))
+    return e.select(F.col("event_id").alias("id"), "ts", F.element_at(named, F.col("event_type")).alias("type"), F.col("user_id").alias("task_id"), family.alias("family"))
 
 
-@query("select event_id as id, ts from events where event_type in ('view', 'purchase', 'click') order by ts desc, event_id desc limit 20")
+@query("select event_id as id, ts from events where event_type in ('view', 'click', 'error') order by ts desc, event_id desc limit 20")
 def hist_runs(spark, sf):
     return history.runs(_log(spark, sf)).select("id", "ts")
 
 
+@query("select event_id as id from events where event_type in ('view', 'click', 'error') and event_id % 997 = 5")
+def hist_runs_of_family(spark, sf):
+    return history.runs(_log(spark, sf), family="f5", limit=None).select("id")
+
+
+@query(
+    """
+select 'f' || (event_id % 997) as family, event_id as id, event_type = 'error' as failed from events where event_type in ('view', 'click', 'error')
+qualify row_number() over (partition by event_id % 997 order by ts desc, event_id desc) = 1
+"""
+)
+def hist_status_latest(spark, sf):
+    return history.status(_log(spark, sf))["latest"].select("family", "id", (F.col("type") == "task_failed").alias("failed"))
+
+
 @query("select user_id, event_id from events qualify row_number() over (partition by user_id order by ts desc, event_id desc) = 1")
 def hist_latest(spark, sf):
     return history.latest(table(spark, sf, "events"), "user_id", [F.desc("ts"), F.desc("event_id")]).select("user_id", "event_id")
@@ -585,8 +644,9 @@ def hist_latest(spark, sf):
 
 @query(
     """
-with w as (select user_id, max(ts) as ts from events where event_type = 'signup' group by 1)
-select user_id as task_id, ts from w where not exists (select 1 from events c where c.event_type in ('view', 'purchase', 'click') and c.user_id = w.user_id and c.ts > w.ts)
+with w as (select * from events where event_type = 'signup' qualify row_number() over (partition by user_id order by ts desc, event_id desc) = 1)
+select user_id as task_id, ts from w where not exists (select 1 from events c where c.ts > w.ts and (
+  c.event_type in ('view', 'click', 'purchase') and c.user_id = w.user_id or c.event_type = 'purchase' and c.event_id % 997 = w.event_id % 997))
 """
 )
 def hist_pending(spark, sf):
@@ -727,7 +787,7 @@ def sum_of_sums(spark, sf):
     return table(spark, sf, "lineitem").groupBy("l_orderkey").agg(F.sum("l_quantity").alias("s")).agg(F.round(F.sum("s"), 0).cast("long").alias("total"))
 
 
-@query()
+@query("select c_custkey, c_acctbal * (cast(('0x' || substr(md5('7|c_acctbal|' || c_custkey), 1, 13)) as bigint)::double / 4503599627370496 * 2.75 + 0.25) as c_acctbal from customer")
 def noise(spark, sf):
     return relational.apply_noise(table(spark, sf, "customer").select("c_custkey", "c_acctbal"), ["c_acctbal"], 7)
 
@@ -819,3 +879,142 @@ def traversal_counts(spark, sf):
         flow.run()
         flow.run()
     return spark.createDataFrame(sorted(sw.traversal_stats().items()), "question string, executions int")
+
+
+# -------------------------------------------------------------------------- other outputs, parameters and questions
+
+
+class Size(enum.Enum):
+    SMALL = 1
+    LARGE = 2
+
+
+class Pickled(sw.TaskPickle):
+    sf = sw.Parameter(significant=False)
+
+    def run(self):
+        rows = table(files.active(), self.sf, "region").orderBy("r_regionkey").collect()
+        self.save({"names": [r.r_name for r in rows], "n": len(rows)})
+
+
+@query("select r_name as name, (select cast(count(*) as integer) from region) as n from region")
+def pickle_output(spark, sf):
+    got = ran(Pickled, spark, sf).outputLoad()
+    return spark.createDataFrame([(x, got["n"]) for x in got["names"]], "name string, n int")
+
+
+class Report(sw.TaskMarkdown):
+    sf = sw.Parameter(significant=False)
+
+    def run(self):
+        n = table(files.active(), self.sf, "nation").count()
+        self.save(f"# Nations\n\nThere are {n}.\n")
+
+
+@query("select '# Nations' || chr(10) || chr(10) || 'There are ' || count(*) || '.' || chr(10) as text from nation")
+def markdown_output(spark, sf):
+    return spark.createDataFrame([(ran(Report, spark, sf).outputLoad(),)], "text string")
+
+
+class Described(Step):
+    def run(self):
+        df = self.read("nation")
+        self.save(df)
+        self.saveMeta({"rows": df.count(), "columns": df.columns})
+
+
+@query("select (select cast(count(*) as integer) from nation) as n_rows, name from (select unnest(['n_nationkey', 'n_name', 'n_regionkey']) as name)")
+def meta_round_trip(spark, sf):
+    meta = ran(Described, spark, sf).outputLoadMeta()
+    return spark.createDataFrame([(meta["rows"], c) for c in meta["columns"] if c != "n_comment"], "n_rows int, name string")
+
+
+class ByRegion(Step):
+    region = sw.IntParameter(default=0)
+
+    def run(self):
+        self.save(self.read("nation").where(F.col("n_regionkey") == self.region))
+
+
+class Dynamic(Step):
+    """Finds out while it runs what else it needs."""
+
+    def run(self):
+        tasks = [ByRegion(path=self.path, sf=self.sf, region=k) for k in (0, 2, 4)]
+        yield tasks
+        self.save(reduce(DataFrame.union, [t.outputLoad() for t in tasks]).groupBy("n_regionkey").agg(F.count("*").alias("n")))
+
+
+@query("select n_regionkey, count(*) as n from nation where n_regionkey in (0, 2, 4) group by 1")
+def dynamic_requires(spark, sf):
+    return ran(Dynamic, spark, sf).outputLoad()
+
+
+class Broken(Step):
+    def run(self):
+        raise ValueError("no")
+
+
+@sw.requires(Broken)
+class AfterBroken(Step):
+    def run(self):
+        self.save(self.inputLoad())
+
+
+@sw.requires(First, AfterBroken)
+class Both(Step):
+    def run(self):
+        self.save(self.inputLoad()[0])
+
+
+@query("select * from (values ('First', 'ran', 'output missing'), ('Broken', 'failed', 'run error'), ('AfterBroken', 'failed', 'dependency failed'), ('Both', 'failed', 'dependency failed')) t(family, state, reason)")
+def failure_states(spark, sf):
+    flow = sw.Workflow(Both, {"sf": sf}, scratch(spark))
+    with quiet():
+        return flow.run(abort=False).to_df(spark).select("family", "state", "reason")
+
+
+@query("select * from (values ('none', 'First', true), ('none', 'Second', true), ('none', 'Third', true), ('down', 'First', true), ('down', 'Second', false), ('down', 'Third', false)) t(reset, family, complete)")
+def reset_downstream_states(spark, sf):
+    flow, rows = ran(Third, spark, sf), []
+    for name in ("none", "down"):
+        if name == "down":
+            with quiet():
+                flow.reset_downstream(Second)
+        rows += [(name, t.task_family, flow.complete(t)) for t in graph.traverse(flow.get_task())]
+    return spark.createDataFrame(rows, "reset string, family string, complete boolean")
+
+
+class Parameters(sw.TaskCache):
+    i = sw.IntParameter(default=3)
+    x = sw.FloatParameter(default=0.5)
+    b = sw.BoolParameter(default=True)
+    d = sw.DateParameter(default=datetime.date(2024, 2, 29))
+    l = sw.ListParameter(default=[1, 2])  # noqa: E741
+    m = sw.DictParameter(default={"b": 1, "a": 2})
+    c = sw.ChoiceParameter(choices=["u", "v"], default="v")
+    e = sw.EnumParameter(enum=Size, default=Size.LARGE)
+
+
+@query("""select * from (values ('i', '3'), ('x', '0.5'), ('b', 'True'), ('d', '2024-02-29'), ('l', '[1, 2]'), ('m', '{"a": 2, "b": 1}'), ('c', 'v'), ('e', 'LARGE')) t(name, text)""")
+def parameter_texts(spark, sf):
+    return spark.createDataFrame(sorted(Parameters().to_str_params().items()), "name string, text string")
+
+
+@query("select * from (values (1, 'Third'), (2, 'Second'), (3, 'First')) t(place, family)")
+def dag_dfs_paths(spark, sf):
+    flow = sw.Workflow(Third, {"sf": sf}, scratch(spark))
+    return spark.createDataFrame([(k + 1, t.task_family) for k, t in enumerate(graph.dfs_paths(flow.get_task(), First))], "place int, family string")
+
+
+@query("select r_regionkey, r_name from region where r_regionkey > 0")
+def stub_import(spark, sf):
+    """What a flow made, read by stubs that were exported from it."""
+    flow = ran(Third, spark, sf)
+    folder = tempfile.mkdtemp()
+    try:
+        sw.FlowExport(flows=flow, save=True, path_export=f"{folder}/stubs_{uuid.uuid4().hex}.py").generate()
+        stubs = sw.FlowImport(next(os.path.join(folder, n) for n in os.listdir(folder)), flow.path)
+        return stubs.Second(path=flow.path, sf=sf).outputLoad().select("r_regionkey", "r_name")
+    finally:
+        shutil.rmtree(folder)

@@ -32,14 +32,23 @@ def literal(value: Any) -> Column:
     return F.lit(str(value))
 
 
-def tagged(df: DataFrame, params: dict[str, Any], warned: set[str] | None = None) -> DataFrame:
-    """df with a column for each parameter. A column that is there is replaced; that it may change data is said once a
-    column, by looking at the schema only, as looking at the data would start a job."""
-    for name in params:
-        if name in df.columns and (warned is None or name not in warned):
-            warnings.warn(f"the tag {name!r} replaces a column of the data", stacklevel=3)
-            if warned is not None:
-                warned.add(name)
+#: A union expected to be smaller than this is one partition.
+SMALL_BYTES = 1 << 20
+
+
+def changed_by(clashes: list[tuple[DataFrame, str, Any]]) -> list[str]:
+    """Of the tags that replace columns (frame, name, value), the names for which any row has another value; what can't be
+    compared counts as other. One query for all, which reads these columns alone and skips what statistics show equal."""
+    try:
+        others = [df.where(~F.col(name).eqNullSafe(literal(value))).select(F.lit(name).alias("name")) for df, name, value in clashes]
+        found = {r["name"] for r in reduce(DataFrame.union, others).distinct().collect()}
+    except Exception:
+        found = {name for _, name, _ in clashes}
+    return [n for n in dict.fromkeys(name for _, name, _ in clashes) if n in found]
+
+
+def tagged(df: DataFrame, params: dict[str, Any]) -> DataFrame:
+    """df with a column for each parameter. A column that is there is replaced."""
     return df.withColumns({k: literal(v) for k, v in params.items()}) if params else df
 
 
@@ -50,16 +59,26 @@ def _stack(frames: list[DataFrame]) -> DataFrame:
     return frames[0]
 
 
+def _gathered(df: DataFrame) -> DataFrame:
+    """A union of very small frames in one partition, so that stacking again and again doesn't multiply tiny files. By the
+    size that Spark expects, which for stored frames is that of their files."""
+    size = df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()
+    return df.coalesce(1) if int(str(size)) < SMALL_BYTES else df
+
+
 def concat_iter(items: Iterable[tuple], concat_fn: Callable | None = None, keys: list[str] | None = None) -> Any:
-    """Stack (id, params, data) triples. data: a frame, or a list or dict of frames, which are stacked part by part.
+    """Stack (id, params, data) triples. Where a tag replaces a column and so changes data, that is said once a column;
+    tagging again with equal values is silent. data: a frame, or a list or dict of frames, which are stacked part by part.
     keys: the parameters that become columns (None: all, []: none). concat_fn(id, params, frame) replaces tagging."""
-    warned: set[str] = set()
+    clashes: list[tuple[DataFrame, str, Any]] = []
 
     def one(identifier: Any, params: dict, data: Any) -> DataFrame:
         df = as_frame(data)
         if concat_fn is not None:
             return concat_fn(identifier, params, df)
-        return tagged(df, {k: v for k, v in params.items() if keys is None or k in keys}, warned)
+        tags = {k: v for k, v in params.items() if keys is None or k in keys}
+        clashes.extend((df, k, v) for k, v in tags.items() if k in df.columns)
+        return tagged(df, tags)
 
     parts: list[Any] = []
     for identifier, params, data in items:
@@ -69,12 +88,14 @@ def concat_iter(items: Iterable[tuple], concat_fn: Callable | None = None, keys:
             parts.append([one(identifier, params, v) for v in data])
         else:
             parts.append(one(identifier, params, data))
+    for name in changed_by(clashes) if clashes else ():
+        warnings.warn(f"the tag {name!r} replaces a column of the data", stacklevel=2)
     if not parts:
         from stepwell.sources.files import active
 
         return active().createDataFrame([], "struct<>")
     if isinstance(parts[0], dict):
-        return {k: _stack([p[k] for p in parts]) for k in parts[0]}
+        return {k: _gathered(_stack([p[k] for p in parts])) for k in parts[0]}
     if isinstance(parts[0], list):
-        return [_stack([p[k] for p in parts]) for k in range(len(parts[0]))]
-    return _stack(parts)
+        return [_gathered(_stack([p[k] for p in parts])) for k in range(len(parts[0]))]
+    return _gathered(_stack(parts))

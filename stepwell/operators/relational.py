@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from typing import Any
 
 from pyspark.sql import Column, DataFrame, Window
@@ -90,9 +92,17 @@ def times(df: DataFrame, factor: Any, columns: list[str] | None = None, prefix:
     return df.select(*[(F.col(c) * factor if c in chosen else F.col(c)).alias(prefix + c) for c in df.columns])
 
 
-def apply_noise(df: DataFrame, columns: list[str], seed: int = 0) -> DataFrame:
-    """Columns times a factor drawn evenly from 0.25 to 3. The same seed and partitioning give the same factors."""
-    return df.withColumns({c: F.col(c) * (F.rand(seed + k) * 2.75 + 0.25) for k, c in enumerate(columns)})
+def apply_noise(df: DataFrame, columns: list[str], seed: int = 123, key: list[str] | None = None) -> DataFrame:
+    """Columns times a factor from 0.25 to 3, evenly spread. It comes from the first 52 bits of the MD5 of seed, column name
+    and the row's key (all other columns, if none is given), so it doesn't depend on how rows are partitioned."""
+    key = [c for c in df.columns if c not in columns] if key is None else key
+    row = [F.coalesce(F.col(c).cast("string"), F.lit("")) for c in key]
+
+    def factor(column: str) -> Column:
+        digest = F.md5(F.concat_ws("|", F.lit(str(seed)), F.lit(column), *row).cast("binary"))
+        return F.conv(F.substring(digest, 1, 13), 16, 10).cast("double") / float(1 << 52) * 2.75 + 0.25
+
+    return df.withColumns({c: F.col(c) * factor(c) for c in columns})
 
 
 def hierarchy(df: DataFrame, levels: list[str], measures: dict[str, Column]) -> dict[str, DataFrame]:
@@ -106,11 +116,12 @@ def hierarchy(df: DataFrame, levels: list[str], measures: dict[str, Column]) ->
 
 def reach(edges: DataFrame, start: DataFrame, src: str = "src", dst: str = "dst") -> DataFrame:
     """All nodes that edges lead to from the start nodes (one column), the start included. One join a level with the
-    nodes that are new, each level checkpointed; cycles end it, as nothing new is found."""
+    nodes that are new, each level checkpointed once; cycles end it, as nothing new is found."""
     node = start.columns[0]
-    found = new = cut(start.distinct())
+    new = cut(start.distinct())
+    levels = [new]
     while not new.isEmpty():
         ahead = edges.join(new, F.col(src) == F.col(node), "left_semi").select(F.col(dst).alias(node)).distinct()
-        new = cut(ahead.join(found, node, "left_anti"))
-        found = cut(found.union(new))
-    return found
+        new = cut(ahead.join(reduce(DataFrame.union, levels), node, "left_anti"))
+        levels.append(new)
+    return reduce(DataFrame.union, levels)

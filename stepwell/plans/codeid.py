@@ -269,9 +269,13 @@ def current_hash(key: str, root: str) -> str | None:
 _frozen: dict[type, dict[str, str]] | None = None
 
 
-def freeze() -> None:
+def freeze() -> bool:
+    """Hold hashes from now on; False if they are held already."""
     global _frozen
+    if _frozen is not None:
+        return False
     _frozen = {}
+    return True
 
 
 def unfreeze() -> None:

@@ -13,7 +13,7 @@ import secrets
 import sys
 import time
 import warnings
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from typing import Any
 
 from stepwell.plans import codeid
@@ -143,10 +143,11 @@ def own_code_ok(task: Any, record: dict) -> bool:
     same = record["source_hashes"] == codeid.current(type(task))
     if task.code_version is not None:
         # A pin decides alone; taking up a pin without touching the code is free.
-        return record["code_version"] == str(task.code_version) or record["code_version"] is None and same
-    if record["code_version"] is not None or not settings.code_version_auto:
-        return record["code_version"] is None or same
-    return same or record["duration_s"] > settings.expensive_seconds
+        return record["code_version"] == str(task.code_version) or record["code_version"] is None and settings.code_version_auto and same
+    if not settings.code_version_auto:
+        return True  # code isn't followed here
+    # A pin that was taken off leaves the hashes it was made with. An expensive output is kept, whatever made it.
+    return same or bool(settings.expensive_seconds) and (record["duration_s"] or 0) > settings.expensive_seconds
 
 
 def changed_symbols(task: Any, record: dict) -> list[str]:
@@ -171,12 +172,14 @@ def reason_for(task: Any) -> str:
 _said: set[str] = set()
 
 
-def warn(task: Any, message: str) -> None:
-    """Once a process for each message; never stops a run."""
+def warn(task: Any, message: str, changed: Iterable[str] = ()) -> None:
+    """An event each time, a warning once a process for each message; never stops a run."""
+    files_changed = sorted({k.partition("::")[0] for k in changed})
+    version = None if task.code_version is None else str(task.code_version)
+    history.append("code_warning", task_id=task.task_id, family=task.task_family, message=message, changed_files=files_changed, code_version=version)
     if message in _said:
         return
     _said.add(message)
-    history.append("code_warning", task_id=task.task_id, family=task.task_family, message=message)
     try:
         warnings.warn(message, StalenessWarning, stacklevel=2)
     except StalenessWarning:
@@ -192,7 +195,7 @@ def advise(task: Any) -> list[str]:
     if not _readable(record):
         if source_is_newer(task):
             message = f"{task!r}: its source is newer than its output, which has no record yet; it is kept"
-            warn(task, message)
+            warn(task, message, [os.path.basename(codeid.source_of(type(task)) or "")])
             put(task, make(task, (record or {}).get("output_id")))
             return [message]
         put(task, make(task, (record or {}).get("output_id")))
@@ -206,7 +209,7 @@ def advise(task: Any) -> list[str]:
         return []
     why = f"code_version {pin} is pinned" if pin is not None else f"it took {record['duration_s']:.0f} s"
     message = f"{task!r}: code has changed ({', '.join(changed_symbols(task, record)[:3])}), the output is kept as {why}"
-    warn(task, message)
+    warn(task, message, changed_symbols(task, record))
     return [message]
 
 

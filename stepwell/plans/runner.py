@@ -8,20 +8,27 @@ import subprocess
 import time
 import traceback
 import uuid
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass, field
 from typing import Any
 
+from pyspark import inheritable_thread_target
 from pyspark.sql import DataFrame
 
 from stepwell.plans import codeid, graph, records
 from stepwell.plans.ident import flatten, mapped
 from stepwell.plans.task import Task, outputs_changed, traversal
 from stepwell.settings import settings
-from stepwell.sources import history
+from stepwell.sources import files, history
 
 TRACEBACK = 4096
 
 
+def _is_of(task: Task, cls: Any) -> bool:
+    """Whether a task is one of a class, or of a subclass; a name stands for the family alone."""
+    return isinstance(task, cls) if isinstance(cls, type) else task.task_family == graph.family_of(cls)
+
+
 @dataclass
 class TaskFailure:
     task: Task
@@ -60,28 +67,31 @@ class RunResult:
         return bool(self.ran_of(cls))
 
     def ran_of(self, cls: Any) -> list[Task]:
-        return [t for t in self.ran if t.task_family == graph.family_of(cls)]
+        return [t for t in self.ran if _is_of(t, cls)]
 
     def failure_of(self, cls: Any) -> TaskFailure | None:
-        return next((f for f in self.failed if f.task.task_family == graph.family_of(cls)), None)
+        return next((f for f in self.failed if _is_of(f.task, cls)), None)
 
-    @property
     def summary(self) -> str:
+        """What was scheduled, met, made and failed, as text."""
+        return str(self)
+
+    def __str__(self) -> str:
         n = len(self.ran) + len(self.complete) + len(self.failed)
         lines = [f"Scheduled {n} tasks of which:"]
         for title, items in (
-            (f"* {len(self.complete)} complete ones were encountered:", [repr(t) for t in self.complete]),
-            (f"* {len(self.ran)} ran successfully:", [f"{t!r}: {self.reasons.get(t.task_id, '')}" for t in self.ran]),
-            (f"* {len(self.failed)} failed:", [str(f) for f in self.failed]),
+            ("complete ones were encountered", [repr(t) for t in self.complete]),
+            ("ran successfully", [f"{t!r}: {self.reasons.get(t.task_id, '')}" for t in self.ran]),
+            ("failed", [str(f) for f in self.failed]),
         ):
-            if items:
-                lines += [title, *[f"    - {x}" for x in items[:10]], *([f"    ... and {len(items) - 10} more"] if len(items) > 10 else [])]
-        lines.append("This progress looks :)" if self.success else "This progress looks :( because there were failed tasks")
+            lines.append(f"* {len(items)} {title}" + ":" * bool(items))
+            shown = items[:10] if items and title.startswith("complete") else items  # what was there already is only counted on
+            lines += [f"    - {x}" for x in shown]
+            if len(shown) < len(items):
+                lines.append(f"    ... and {len(items) - len(shown)} more")
+        lines.append("This progress looks :) because there were no failed tasks or missing dependencies" if self.success else "This progress looks :( because there were failed tasks")
         return "\n".join(lines)
 
-    def __str__(self) -> str:
-        return self.summary
-
     def to_df(self, spark: Any) -> DataFrame:
         """(task_id, family, state, reason), a row for each task met."""
         rows = [(t.task_id, t.task_family, "ran", self.reasons.get(t.task_id)) for t in self.ran]
@@ -123,12 +133,11 @@ class MultiRunResult(dict):
     def warnings(self) -> list[str]:
         return self._merged("warnings")
 
-    @property
     def summary(self) -> str:
-        return "\n".join(f"== {k} ==\n{r.summary}" for k, r in self.items())
+        return str(self)
 
     def __str__(self) -> str:
-        return self.summary
+        return "\n".join(f"== {k} ==\n{r}" for k, r in self.items())
 
 
 @functools.lru_cache(maxsize=1)
@@ -192,16 +201,27 @@ class _Run:
             if not with_run:
                 r.complete.append(task)
                 return True
-        reason = records.reason_for(task)
+        return self._booked(task, records.reason_for(task), *self._step(task))
+
+    def _step(self, task: Task) -> tuple[bool, float, BaseException | None]:
+        """Run a task all of whose dependencies are there: whether they were, the seconds it took, what went wrong."""
         began = time.time()
         try:
             if not self._run(task):
-                return self._fail(task, "dependency failed")
+                return False, 0.0, None
             if missing := [getattr(t, "path", t) for t in flatten(task.output()) if not t.exists()]:
                 raise RuntimeError(f"run() left outputs missing: {missing}")
         except Exception as e:
-            return self._fail(task, "run error", e)
-        duration = time.time() - began
+            return True, 0.0, e
+        return True, time.time() - began, None
+
+    def _booked(self, task: Task, reason: str, fed: bool, duration: float, error: BaseException | None) -> bool:
+        """Note how a step went."""
+        if not fed:
+            return self._fail(task, "dependency failed")
+        if error is not None:
+            return self._fail(task, "run error", error)
+        r = self.result
         outputs_changed()
         record: dict = {}
         if hasattr(task, "root"):
@@ -232,8 +252,37 @@ class _Run:
             return True
 
 
-def build(tasks: Any, flow: str | None = None) -> RunResult:
-    """Make tasks, one after another, what they need first; each at most once."""
+    def ahead(self, roots: list[Task], workers: int) -> None:
+        """Make what doesn't need anything missing, some steps at a time, wave after wave. Steps start their jobs from threads of their own, so that jobs of one wave share the cluster; all that is
+        decided or noted is done here. What remains (steps that yield tasks, groups, failures) is left to visit()."""
+        try:
+            todo = list(dict.fromkeys(t for root in roots for t in graph.post_order(root)))
+        except ValueError:
+            return  # visit() says which cycle it is
+        todo = [t for t in todo if not t.is_complete()]
+        undone = set(todo)
+        with ThreadPoolExecutor(workers, "stepwell-step") as pool:
+            while True:
+                ready = [t for t in todo if t not in self.state and _is_plain(t) and all(self.state.get(d, d not in undone) for d in t.deps())]
+                if not ready:
+                    return
+                reasons = [records.reason_for(t) for t in ready]
+                if len(ready) == 1:
+                    steps = iter([self._step(ready[0])])
+                else:
+                    started = [pool.submit(inheritable_thread_target(files.active())(self._step), t) for t in ready]
+                    steps = (x.result() for x in started)
+                for t, reason, step in zip(ready, reasons, steps, strict=True):
+                    self.state[t] = self._booked(t, reason, *step)
+
+
+def _is_plain(task: Task) -> bool:
+    return not task.external and not inspect.isgeneratorfunction(type(task).run) and bool(flatten(task.output()))
+
+
+def build(tasks: Any, flow: str | None = None, workers: int | None = None) -> RunResult:
+    """Make tasks, what they need first; each at most once. workers: independent steps made at a time (1: one after
+    another; None: as many as settings.workers says)."""
     todo = flatten(tasks)
     run = _Run()
     history.set_context(run_id=run.result.run_id, flow=flow)
@@ -241,6 +290,8 @@ def build(tasks: Any, flow: str | None = None) -> RunResult:
     codeid.freeze()
     try:
         with traversal(), records.held():
+            if (workers or settings.workers) > 1:
+                run.ahead(todo, workers or settings.workers)
             for t in todo:
                 run.visit(t)
     finally:
@@ -258,8 +309,7 @@ def run(
     execution_summary: bool | None = None, workers: int | None = None, flow: str | None = None,
 ) -> RunResult:
     """Build tasks. forced: families remade, with all between them and the roots; forced_all: the roots; forced_all_upstream:
-    everything. abort: raise where something failed. workers is taken for compatibility: steps run one after another,
-    each on the whole cluster."""
+    everything. abort: raise where something failed. workers: see build()."""
     roots = flatten(tasks)
     doomed: dict[Task, None] = {}
     for root in roots:
@@ -274,7 +324,7 @@ def run(
     for t in doomed:
         if hasattr(t, "stem") and not t.external:
             t.invalidate()
-    result = build(roots, flow)
+    result = build(roots, flow, workers)
     if settings.execution_summary if execution_summary is None else execution_summary:
         from stepwell.plans.log import _logger
 

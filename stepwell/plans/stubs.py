@@ -2,25 +2,56 @@
 
 from __future__ import annotations
 
+import datetime
 import importlib.util
 import sys
 from pathlib import Path
 from typing import Any
 
-from stepwell.plans import graph
+from stepwell.plans import graph, params
 from stepwell.plans.flow import Workflow, WorkflowMulti
 from stepwell.plans.task import Task, TaskData
 from stepwell.settings import settings
 
-HEAD = '"""Stubs of tasks: they load what the tasks made elsewhere and never run."""\n\nimport datetime\n\nimport stepwell\nfrom stepwell import *  # noqa: F403\n'
+HEAD = '"""Stubs of tasks: they load what the tasks made elsewhere and never run."""\n\nimport datetime\nimport enum\n\nimport stepwell\nfrom stepwell import *  # noqa: F403\n'
 
 
 class dotdict(dict):
-    """A dict whose entries are attributes too."""
+    """A dict whose entries are attributes too; an attribute that isn't there raises."""
 
-    __getattr__ = dict.get
-    __setattr__ = dict.__setitem__
-    __delattr__ = dict.__delitem__
+    def __getattr__(self, name: str) -> Any:
+        if name not in self:
+            raise AttributeError(f"no task is called {name!r}")
+        return self[name]
+
+    def __setattr__(self, name: str, value: Any) -> None:
+        self[name] = value
+
+    def __delattr__(self, name: str) -> None:
+        if name not in self:
+            raise AttributeError(f"no task is called {name!r}")
+        del self[name]
+
+
+def _parameter(p: params.Parameter, value: Any) -> tuple[str, type | None]:
+    """The declaration of a parameter with its value as default, and the enum class it needs."""
+    significant = "" if p.significant else ", significant=False"
+    if isinstance(p, params.EnumParameter):
+        return f"stepwell.EnumParameter(default={p.enum.__name__}[{value.name!r}], enum={p.enum.__name__}{significant})", p.enum
+    if not _plain(value):
+        return f"stepwell.Parameter(default={p.serialize(value)!r}{significant})", None
+    if isinstance(p, params.ChoiceParameter) and _plain(p.choices):
+        return f"stepwell.ChoiceParameter(default={value!r}, choices={p.choices!r}{significant})", None
+    known = next((c.__name__ for c in type(p).__mro__ if c.__module__ == params.__name__ and not issubclass(c, params.ChoiceParameter)), "Parameter")
+    return f"stepwell.{known}(default={value!r}{significant})", None
+
+
+def _plain(value: Any) -> bool:
+    """Whether repr gives Python that makes the value again, with nothing but datetime imported."""
+    try:
+        return bool(eval(repr(value), {"datetime": datetime, "__builtins__": {}}) == value)
+    except Exception:
+        return False
 
 
 class FlowExport:
@@ -41,7 +72,8 @@ class FlowExport:
 
     def generate(self) -> str:
         """The source of the stubs; written to path_export if save was asked for."""
-        parts = [HEAD]
+        parts: list[str] = [HEAD]
+        enums: list[type] = []
         for t in self.tasks:
             base = next(c.__name__ for c in type(t).__mro__ if c.__module__ == TaskData.__module__)
             lines = [f"class {t.task_family}(stepwell.{base}):", "    external = True", f"    persists = {t.output_names!r}"]
@@ -49,9 +81,12 @@ class FlowExport:
                 if getattr(t, name) != getattr(TaskData, name):
                     lines.append(f"    {name} = {getattr(t, name)!r}")
             for name, p in t.get_params():
-                kind = type(p).__name__ if type(p).__name__ in ("Parameter", "IntParameter", "FloatParameter", "BoolParameter", "DateParameter", "DictParameter", "ListParameter") else "Parameter"
-                significant = "" if p.significant else ", significant=False"
-                lines.append(f"    {name} = stepwell.{kind}(default={t.param_values[name]!r}{significant})")
+                declared, needed = _parameter(p, t.param_values[name])
+                lines.append(f"    {name} = {declared}")
+                if needed and needed not in enums:
+                    enums.append(needed)
+                    members = [f"    {m.name} = {m.value if _plain(m.value) and not isinstance(m.value, str) else str(m.value)!r}" for m in needed]
+                    parts.insert(1, "\n".join([f"class {needed.__name__}(enum.Enum):", *members]) + "\n")
             parts.append("\n".join(lines) + "\n")
         text = "\n\n".join(parts)
         if self.save:

@@ -44,14 +44,19 @@ _walk = Traversal()
 @contextlib.contextmanager
 def traversal() -> Iterator[None]:
     """Share answers between all questions asked inside; nested walks share the outermost one's."""
+    from stepwell.plans import codeid
+
     if not _walk.depth:
         _walk.volatile.clear()
         _walk.structural.clear()
         _walk.executed = dict.fromkeys(_walk.executed, 0)
     _walk.depth += 1
+    froze = codeid.freeze()
     try:
         yield
     finally:
+        if froze:
+            codeid.unfreeze()
         _walk.depth -= 1
         if not _walk.depth:
             _walk.volatile.clear()
@@ -234,7 +239,7 @@ class Task(metaclass=Register):
                     put(name, self.clone(cls))
                 continue
             branches = self.requires_grid(e["cls"], derive=e["derive"], **e["grid"])
-            group = e["group"] or e["cls"]
+            group = e["group"] or e["cls"].__name__
             groups[group] = {}
             for label, dep in branches.items():
                 key = f"{e['group']}_{label}" if e["group"] else label
@@ -513,6 +518,8 @@ class TaskData(Task):
     @staticmethod
     def _select(deps: Any, groups: dict, task: Any) -> Any:
         if isinstance(deps, dict):
+            if isinstance(task, type) and task.__name__ in groups:
+                task = task.__name__
             if task in groups:
                 return {label: deps[key] for key, label in groups[task].items()}
             if task in deps:

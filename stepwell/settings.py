@@ -18,6 +18,7 @@ class Settings:
     log_level: str = "WARNING"
     execution_summary: bool = True
     storage: str | None = None  # prefix of all relative paths, e.g. s3a://bucket/prefix
+    workers: int = 8  # independent steps made at a time
     summary_params: int = 20
     summary_chars: int = 64
     extra: dict = field(default_factory=dict)

@@ -6,6 +6,7 @@ import posixpath
 import tempfile
 from typing import Any
 
+from pyspark import SparkContext
 from pyspark.sql import SparkSession
 
 from stepwell.settings import located
@@ -15,17 +16,33 @@ def active() -> SparkSession:
     return SparkSession.getActiveSession() or SparkSession.builder.getOrCreate()
 
 
+#: For the running context: Hadoop's Path class, the configuration, and the file system of each store. Each question to the
+#: JVM is a round trip, and a graph of tasks asks for very many files.
+_known: dict[str, Any] = {}
+
+
 def _handle(path: str) -> tuple[Any, Any]:
-    spark = active()
-    p = spark._jvm.org.apache.hadoop.fs.Path(located(path))
-    return p.getFileSystem(spark._jsc.hadoopConfiguration()), p
+    sc = SparkContext._active_spark_context or active().sparkContext
+    if _known.get("of") is not sc:
+        _known.clear()
+        _known.update(of=sc, Path=sc._jvm.org.apache.hadoop.fs.Path, conf=sc._jsc.hadoopConfiguration())
+    where = located(path)
+    p = _known["Path"](where)
+    store = "/".join(where.split("/", 3)[:3]) if "://" in where else ""
+    if store not in _known:
+        _known[store] = p.getFileSystem(_known["conf"])
+    return _known[store], p
 
 
 def cut(df: Any) -> Any:
-    """Checkpoint a frame in the folder that driver and executors share (a local one only where none is set)."""
+    """Checkpoint a frame in the folder that driver and executors share: spark.checkpoint.dir, which has to be set but where
+    all is one process."""
     sc = df.sparkSession.sparkContext
     if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="stepwell-"))
+        folder = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        if not folder and not (sc.master or "").startswith("local["):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        sc.setCheckpointDir(folder or tempfile.mkdtemp(prefix="stepwell-"))
     return df.checkpoint(eager=True)
 
 
@@ -71,14 +88,18 @@ def read_bytes(path: str) -> bytes:
         stream.close()
 
 
-def write_bytes(path: str, data: bytes) -> None:
-    """Write beside the path, then move into place: a reader sees the old or the new content."""
-    beside = posixpath.join(posixpath.dirname(path), f"_tmp.{posixpath.basename(path)}")
-    fs, p = _handle(beside)
-    fs.mkdirs(p.getParent())
+def put_bytes(path: str, data: bytes) -> None:
+    """Write a file in a folder that nobody reads yet."""
+    fs, p = _handle(path)
     out = fs.create(p, True)
     try:
         out.write(bytearray(data))
     finally:
         out.close()
+
+
+def write_bytes(path: str, data: bytes) -> None:
+    """Write beside the path, then move into place: a reader sees the old or the new content."""
+    beside = posixpath.join(posixpath.dirname(path), f"_tmp.{posixpath.basename(path)}")
+    put_bytes(beside, data)
     rename(beside, path)

@@ -10,6 +10,7 @@ import atexit
 import datetime
 import getpass
 import json
+import logging
 import os
 import platform
 import threading
@@ -25,7 +26,8 @@ from stepwell.sources import files
 SCHEMA = (
     "id string, ts string, type string, v int, project_id string, machine string, user string, run_id string, flow string, "
     "task_id string, family string, reason string, message string, level string, duration_s double, error string, "
-    "traceback string, code_version string, fingerprint string, success boolean, n_ran int, n_complete int, n_failed int, git_sha string, git_dirty boolean"
+    "traceback string, code_version string, fingerprint string, success boolean, n_ran int, n_complete int, n_failed int, git_sha string, git_dirty boolean, "
+    "params map<string,string>, extra map<string,string>, roots array<string>, changed_files array<string>"
 )
 _lock = threading.Lock()
 _waiting: list[dict] = []
@@ -73,7 +75,8 @@ def flush() -> bool:
         return True
     except Exception:
         with _lock:
-            _waiting = (taken + _waiting)[-10_000:]
+            _waiting = taken + _waiting
+        logging.getLogger("stepwell").warning("%d events of the run history can't be written yet; they are kept", len(_waiting))
         return False
 
 
@@ -100,8 +103,8 @@ iter_events = events
 
 
 def runs(df: DataFrame | None = None, family: str | None = None, flow: str | None = None, limit: int | None = 20) -> DataFrame:
-    """Finished steps, newest first."""
-    df = (events() if df is None else df).where("type = 'task_ran'")
+    """Steps that ran or failed, newest first."""
+    df = (events() if df is None else df).where("type in ('task_ran', 'task_failed')")
     for column, value in (("family", family), ("flow", flow)):
         if value is not None:
             df = df.where(F.col(column) == value)
@@ -115,19 +118,22 @@ def latest(df: DataFrame, key: str, order: list) -> DataFrame:
 
 
 def warnings(df: DataFrame | None = None) -> DataFrame:
-    """The latest warning of each task that nothing later has cleared: a run of the task, or its acceptance."""
+    """The latest warning of each task that nothing later has cleared: a run of the task, its acceptance, or the
+    acceptance of any task of its family."""
     df = events() if df is None else df
-    last = latest(df.where("type = 'code_warning'"), "task_id", [F.desc("ts"), F.desc("id")]).alias("w")
-    clears = df.where("type in ('task_ran', 'code_accepted')").groupBy("task_id").agg(F.max("ts").alias("cleared")).alias("c")
-    return last.join(clears, (F.col("w.task_id") == F.col("c.task_id")) & (F.col("c.cleared") > F.col("w.ts")), "left_anti")
+    last = latest(df.where("type = 'code_warning'"), "task_id", [F.desc("ts"), F.desc("id")])
+    for key, types in (("task_id", ["task_ran", "code_accepted"]), ("family", ["code_accepted"])):
+        clears = df.where(F.col("type").isin(types) & (F.col(key).cast("string") != "")).groupBy(key).agg(F.max("ts").alias("cleared")).alias("c")
+        last = last.alias("w").join(clears, (F.col(f"w.{key}") == F.col(f"c.{key}")) & (F.col("c.cleared") > F.col("w.ts")), "left_anti")
+    return last
 
 
 def status(df: DataFrame | None = None) -> dict[str, DataFrame]:
-    """pending warnings, the latest run of each family, and the last ten failures."""
+    """pending warnings, the latest run of each family (a failed one too), and the last ten failures."""
     df = events() if df is None else df
     return {
         "pending": warnings(df),
-        "latest": latest(df.where("type = 'task_ran'"), "family", [F.desc("ts"), F.desc("id")]),
+        "latest": latest(df.where("type in ('task_ran', 'task_failed') and family <> ''"), "family", [F.desc("ts"), F.desc("id")]),
         "failures": df.where("type = 'task_failed'").orderBy(F.desc("ts"), F.desc("id")).limit(10),
     }
 
@@ -135,9 +141,18 @@ def status(df: DataFrame | None = None) -> dict[str, DataFrame]:
 def print_status(df: DataFrame | None = None) -> str:
     """The status as text; short by nature, so it is collected."""
     got = status(df)
+    took = F.when(F.col("duration_s").isNotNull(), F.concat(F.format_number("duration_s", 2), F.lit("s"))).otherwise("")
+    outcome = F.when(F.col("type") == "task_failed", "FAILED").otherwise(F.coalesce("reason", F.lit("ran")))
+    changed = F.concat(F.lit("changed "), F.coalesce(F.array_join("changed_files", ", "), F.lit("?")))
+    columns = {
+        "pending": ["family", "code_version", changed.alias("changed"), "message"],
+        "latest": ["family", F.substring("ts", 1, 16).alias("at"), outcome.alias("outcome"), took.alias("took")],
+        "failures": ["family", F.substring("ts", 1, 16).alias("at"), "error"],
+    }
     lines = []
-    for title, columns in (("pending", ["family", "message"]), ("latest", ["ts", "family", "reason"]), ("failures", ["ts", "family", "error"])):
-        rows = got[title].select(*columns).limit(50).collect()
+    for title, shown in columns.items():
+        rows = got[title].select(*shown).limit(50).collect()
+        rows = sorted(rows, key=lambda r: r["family"] or "") if title == "latest" else rows
         lines += [f"{title} ({len(rows)})", *["  " + "  ".join(str(x) for x in r) for r in rows]]
     print("\n".join(lines))
     return "\n".join(lines)

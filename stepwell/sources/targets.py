@@ -16,12 +16,13 @@ import uuid
 from typing import Any
 
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from stepwell.settings import located, settings
 from stepwell.sources import files
 
-SCHEMA = "_schema.json"
+SCHEMA, PARTITIONS = "_schema.json", "_partitions.json"
 #: Rows that a driver-only format (a spreadsheet) takes at most.
 DRIVER_ROWS = 1_000_000
 
@@ -89,7 +90,7 @@ class FrameTarget(DataTarget):
     """A frame in one of Spark's file formats."""
 
     format = "parquet"
-    write_options: dict[str, Any] = {"compression": "gzip"}
+    write_options: dict[str, Any] = {"compression": "zstd"}
     read_options: dict[str, Any] = {}
 
     def exists(self) -> bool:
@@ -105,7 +106,7 @@ class FrameTarget(DataTarget):
         try:
             writer = df.write.format(self.format).mode("overwrite").options(**self.write_options, **options)
             (writer.partitionBy(*partition_by) if partition_by else writer).save(located(beside))
-            files.write_bytes(f"{beside}/{SCHEMA}", json.dumps(df.schema.jsonValue()).encode())
+            files.put_bytes(f"{beside}/{SCHEMA}", json.dumps(df.schema.jsonValue()).encode())
             files.rename(beside, self.path)
         except BaseException:
             files.delete(beside)
@@ -175,49 +176,75 @@ class FrameCacheTarget(CacheTarget):
 
 class FusedTarget(FrameTarget):
     """The branches of a fan-out in one frame, a partition for each value of a tag column. A branch is there when its
-    partition is, so branches can be added or made anew one by one; an empty branch is an empty partition."""
+    partition is, so branches can be added or made anew one by one; an empty branch is an empty partition. Partitions
+    have the names that Spark gives them; they are noted beside the schema, so that looking for them starts no job."""
 
     def __init__(self, path: Any, tag: str, values: list):
         super().__init__(path)
         self.tag, self.values = tag, list(values)
+        if any(isinstance(v, str) and not v for v in self.values):
+            raise ValueError(f"{tag}: an empty text can't be told from null in the name of a partition")
 
-    def partition(self, value: Any) -> str:
+    def noted(self) -> dict[str, str]:
+        """The partition of each value that was ever written, by the value's repr."""
+        return json.loads(files.read_bytes(f"{self.path}/{PARTITIONS}")) if files.exists(f"{self.path}/{PARTITIONS}") else {}
+
+    def named(self, df: DataFrame, values: list) -> dict[str, str]:
+        """The names that Spark gives to the partitions of values."""
+        kind = df.schema[self.tag].dataType
         utils = files.active()._jvm.org.apache.spark.sql.catalyst.catalog.ExternalCatalogUtils
-        return utils.getPartitionPathString(self.tag, str(value))
+        texts = files.active().range(1).select(*[F.lit(v).try_cast(kind).cast("string").alias(f"v{k}") for k, v in enumerate(values)]).first() if values else ()
+        out = {repr(v): utils.getPartitionPathString(self.tag, t) for v, t in zip(values, texts, strict=True)}
+        for v, t in zip(values, texts, strict=True):
+            if t is None and v is not None:
+                raise ValueError(f"{self.tag}: {v!r} is no value of type {kind.simpleString()}")
+        if len(set(out.values())) < len(out):
+            raise ValueError(f"{self.tag}: two values have one partition: {sorted(out)}")
+        return out
 
     def missing(self) -> list:
         there = set(files.names(self.path))
-        return [v for v in self.values if self.partition(v) not in there] if SCHEMA in there else self.values
+        noted = self.noted() if SCHEMA in there and PARTITIONS in there else {}
+        return [v for v in self.values if noted.get(repr(v)) not in there]
 
     def exists(self) -> bool:
         return not self.missing()
 
+    def _of(self, df: DataFrame, values: list) -> Any:
+        some = df[self.tag].isin(*[v for v in values if v is not None])
+        return some | df[self.tag].isNull() if any(v is None for v in values) else some
+
     def read(self, **options: Any) -> DataFrame:
         schema = StructType.fromJson(json.loads(files.read_bytes(posixpath.join(self.path, SCHEMA))))
         df = files.active().read.schema(schema).option("basePath", located(self.path)).options(**options).parquet(located(self.path))
-        return df.where(df[self.tag].isin(*self.values))  # prunes partitions of other values
+        return df.where(self._of(df, self.values))  # prunes partitions of other values
 
     def write(self, data: Any, **options: Any) -> None:
         """Write the branches that are missing; rows of others are left out."""
         df, todo = as_frame(data), self.missing()
         beside = f"{posixpath.dirname(self.path)}/_tmp.{uuid.uuid4().hex}"
         try:
-            df.where(df[self.tag].isin(*todo)).write.options(**self.write_options, **options).partitionBy(self.tag).parquet(located(beside))
-            made = set(files.names(beside))
-            for v in todo:
-                name = self.partition(v)
+            names = self.named(df, todo)
+            df.where(self._of(df, todo)).write.options(**self.write_options, **options).partitionBy(self.tag).parquet(located(beside))
+            made = {n for n in files.names(beside) if not n.startswith(("_", "."))}
+            if lost := made - set(names.values()):
+                raise RuntimeError(f"{self.path}: no branch claims the partitions {sorted(lost)}")
+            for name in names.values():
                 if name in made:
                     files.rename(f"{beside}/{name}", f"{self.path}/{name}")
                 else:
                     files.write_bytes(f"{self.path}/{name}/_empty", b"")
+            files.write_bytes(f"{self.path}/{PARTITIONS}", json.dumps(self.noted() | names).encode())
             files.write_bytes(posixpath.join(self.path, SCHEMA), json.dumps(df.schema.jsonValue()).encode())
         finally:
             files.delete(beside)
 
     def forget(self, values: list) -> None:
         """Remove some branches."""
+        noted = self.noted()
         for v in values:
-            files.delete(f"{self.path}/{self.partition(v)}")
+            if repr(v) in noted:
+                files.delete(f"{self.path}/{noted[repr(v)]}")
         _LOADED.pop(self.path, None)
 
 

@@ -1,6 +1,7 @@
 import datetime
 import enum
 import json
+import re
 import sys
 import warnings
 
@@ -407,7 +408,90 @@ class TestFanOut:
         assert made == [["CA", "N/Y", "none"], ["N/Y"]]
 
 
+    @pytest.mark.parametrize("tags", [[True, False, None], [1e-07, 2.5, 1e20, -0.5, None], [datetime.date(2024, 2, 29), None], [datetime.datetime(2024, 1, 1), datetime.datetime(2024, 1, 1, 3, 4, 5, 600)], ["a/b=c", "ö %:x", "__x", None], [1, -7, None]])
+    def test_fused_types(self, spark, tags):
+        kind = {bool: "boolean", float: "double", int: "long", str: "string", datetime.date: "date", datetime.datetime: "timestamp"}[type(tags[0])]
+
+        class Typed(sw.TaskFused):
+            def values(self):
+                return tags
+
+            def build(self, values):
+                return spark.createDataFrame([(t, v) for t in tags for v in range(2)], f"tag {kind}, v int")
+
+        flow = sw.Workflow(Typed)
+        flow.run()
+        want = sorted(str((t, v)) for t in tags for v in range(2))
+        assert sorted(str((r.tag, r.v)) for r in flow.outputLoad().collect()) == want and not flow.run().ran
+        Typed().reset_branches(tags[:1])
+        assert not flow.complete() and flow.run().ran
+        assert sorted(str((r.tag, r.v)) for r in flow.outputLoad().collect()) == want
+
+    def test_fused_refuses_what_it_would_lose(self, spark):
+        from stepwell.sources.targets import FusedTarget
+
+        with pytest.raises(ValueError, match="empty text"):
+            FusedTarget("x", "tag", ["a", ""])
+        target = FusedTarget(f"{sw.settings.dirpath}/odd", "tag", ["1", "x"])
+        with pytest.raises(ValueError, match="no value of type"):
+            target.write(spark.createDataFrame([(1, 2)], "tag int, v int"))
+        assert not target.exists()
+
+
+class TestParallel:
+    def test_waves(self, spark):
+        import threading
+
+        threads, order = set(), []
+
+        class Leaf(sw.TaskParquet):
+            k = sw.IntParameter(default=0)
+
+            def run(self):
+                threads.add(threading.current_thread().name)
+                order.append(self.k)
+                if self.k == 5:
+                    raise ValueError("five")
+                self.save(spark.range(self.k))
+
+        @sw.requires_each(Leaf, k=list(range(5)))
+        class Good(sw.TaskParquet):
+            def run(self):
+                assert sorted(order)[:5] == [0, 1, 2, 3, 4]
+                self.save(self.inputLoadConcat())
+
+        @sw.requires(Good)
+        class Top(sw.TaskParquet):
+            def run(self):
+                self.save(self.inputLoad())
+
+        r = sw.Workflow(Top).run()
+        assert [getattr(t, "k", t.task_family) for t in r.ran] == [0, 1, 2, 3, 4, "Good", "Top"] and any("stepwell-step" in t for t in threads)
+        assert r.did_run(sw.TaskParquet) and len(r.ran_of(Leaf)) == 5 and r.failure_of(Leaf) is None and len(r.ran_of("Leaf")) == 5
+        assert "* 0 failed\n" in r.summary() and r.summary().endswith("because there were no failed tasks or missing dependencies")
+
+        @sw.requires_each(Leaf, k=[5, 6, 7])
+        class Bad(sw.TaskParquet):
+            def run(self):
+                self.save(spark.range(1))
+
+        r = sw.Workflow(Bad).run(abort=False)
+        assert [t.k for t in r.ran] == [6, 7] and [f.reason for f in r.failed] == ["run error", "dependency failed"]
+        threads.clear()
+        assert not sw.Workflow(Bad).run(abort=False, workers=1) and threads == {threading.current_thread().name}
+
+
 class TestConcat:
+    def test_equal_tags_are_silent(self, spark):
+        from stepwell.operators.concat import concat_iter
+
+        a = spark.createDataFrame([("x", 1), ("x", 2)], "t string, v int")
+        with warnings.catch_warnings():
+            warnings.simplefilter("error")
+            assert concat_iter([("a", {"t": "x"}, a)]).count() == 2
+        with pytest.warns(UserWarning, match="replaces"):
+            concat_iter([("a", {"t": "y"}, a)])
+
     def test_drift_collision_and_function(self, spark):
         a, b = spark.range(2).toDF("x"), spark.range(1).toDF("y")
         got = sw.concat_iter([("i", {"k": 1}, a), ("j", {"k": 2}, b)])
@@ -631,15 +715,30 @@ class TestHistory:
         sw.run(Bad(), abort=False)
         kinds = {r.type for r in history.events().collect()}
         assert {"run_started", "task_ran", "run_finished", "task_failed", "task_log"} <= kinds
-        assert history.runs().count() == 3 and history.runs(family="Two").first().reason == "output missing"
+        assert history.runs().count() == 4 and history.runs(family="Bad").first().type == "task_failed" and history.runs(family="Two").first().reason == "output missing"
         got = history.status()
-        assert got["latest"].count() == 3 and got["failures"].first().error == "no" and got["pending"].count() == 0
-        assert "Bad" in history.print_status()
+        assert got["latest"].count() == 4 and got["failures"].first().error == "no" and got["pending"].count() == 0
+        assert got["latest"].where("family = 'Bad'").first().type == "task_failed"
+        shown = history.print_status()
+        assert "FAILED" in shown and re.search(r"Two  \S+  output missing  \d+\.\d\ds", shown)
+        assert history.events(type="run_started").first().roots and history.events(type="task_log").first().extra == {"rows": "5"}
         history.append("code_warning", task_id=Last().task_id, family="Last", message="old")
         history.append("code_warning", task_id="x", family="X", message="m")
         assert {r.task_id for r in history.warnings().collect()} == {Last().task_id, "x"}
         history.append("code_accepted", task_id="x", family="X")
         assert {r.task_id for r in history.warnings().collect()} == {Last().task_id}
+        history.append("code_accepted", task_id="another", family="Last")
+        assert history.warnings().count() == 0
+
+    def test_parameters_are_kept(self, spark):
+        class Called(sw.TaskParquet):
+            x = sw.IntParameter(default=1)
+
+            def run(self):
+                self.save(spark.range(self.x))
+
+        sw.Workflow(Called, {"x": 3}).run()
+        assert history.runs(family="Called").first().params == {"x": "3"}
 
     def test_never_stops_a_run(self, tmp_path, monkeypatch):
         (tmp_path / "blocked").write_text("")
