@@ -75,7 +75,11 @@ def judge_urls(
             ).alias("best")
         )
     )
-    return urls.join(best, ["host", "path"], "left").select(
+    # A third key, which the aggregate isn't dealt by: so both sides get a plain exchange, of which adaptive execution
+    # splits the part of a url that very many rows hold. Urls without a host, which no rule fits, are spread by their id.
+    spread = F.xxhash64("host", "path")
+    urls = urls.withColumn("spread", F.when(F.col("host") == "", F.xxhash64("id")).otherwise(spread))
+    return urls.join(best.withColumn("spread", spread), ["host", "path", "spread"], "left").select(
         F.col("id").alias(id_column),
         "host",
         "path",
