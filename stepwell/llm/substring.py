@@ -2,7 +2,8 @@
 
 Method: Rabin-Karp hashes of every window, counted in Spark.
 
-1. Documents are dealt by a hash of (id, text) into *units* of some MB. One task turns a unit into word hashes and
+1. Documents are dealt by a hash of (id, text, partition) into *units* of some MB; so even a row that is repeated very
+   often is many units. Equal texts of a unit are worked on once, with their number. One task turns a unit into word hashes and
    rolling window hashes (polynomials modulo 2**64, prefix sums over NumPy arrays, finished by a bijective mix), drops
    the repeats inside the unit (they are known as repeated there) and sends each different hash once, with one bit
    "repeated here", to the *bucket* that holds its range of values. A very common window therefore leaves a unit once.
@@ -114,8 +115,9 @@ def window_hashes(words: np.ndarray, counts: np.ndarray, width: int) -> tuple[np
     return mixed(polynomial(words, starts, starts + width, WORD_BASE)), starts
 
 
-def distinct_windows(data, offsets, width: int):
-    """Of one unit: sorted different hashes, whether each comes up more than once, the windows' starts, the hash of each, words of each text."""
+def distinct_windows(data, offsets, width: int, times_of_text: np.ndarray):
+    """Of one unit of different texts and the number of times each is there: sorted different hashes, whether each comes
+    up more than once, the windows' starts, the hash of each, words of each text."""
     words, counts = word_hashes(data, offsets)
     hashes, starts = window_hashes(words, counts, width)
     order = np.argsort(hashes, kind="stable")
@@ -125,7 +127,10 @@ def distinct_windows(data, offsets, width: int):
     which = np.cumsum(new) - 1
     different = ranked[new]
     times = np.bincount(which, minlength=len(different)) if len(different) else np.zeros(0, np.int64)
-    return different, times > 1, starts[order], which, counts
+    again = times > 1
+    if (times_of_text > 1).any():
+        again[which[np.repeat(times_of_text > 1, np.maximum(counts - width + 1, 0))[order]]] = True
+    return different, again, starts[order], which, counts
 
 
 def bucket_edges(hashes: np.ndarray, buckets: int) -> np.ndarray:
@@ -139,10 +144,15 @@ def sorted_rows(table: pa.Table) -> pa.Table:
     return table.combine_chunks().sort_by([("id", "ascending"), ("text", "ascending")])
 
 
-def texts_of(table: pa.Table) -> pa.Array:
-    """Texts of a unit, null as empty."""
+def texts_of(table: pa.Table) -> tuple[pa.Array, np.ndarray, np.ndarray]:
+    """The different texts of a unit (null as empty), which of them each row has, and how many rows have each."""
     texts = table.column("text").combine_chunks()
-    return texts.fill_null(b"") if texts.null_count else texts
+    if not len(texts):
+        return pa.array([], pa.binary()), np.zeros(0, np.int64), np.zeros(0, np.int64)
+    coded = (texts.fill_null(b"") if texts.null_count else texts).dictionary_encode()
+    coded = coded.combine_chunks() if isinstance(coded, pa.ChunkedArray) else coded
+    rows = coded.indices.to_numpy(zero_copy_only=False).astype(np.int64)
+    return coded.dictionary, rows, np.bincount(rows, minlength=len(coded.dictionary))
 
 
 def drop_repeats(docs: DataFrame, width: int = 35, id_column: str = "doc_id", text_column: str = "text", carry: tuple[str, ...] = (), with_text: bool = False) -> DataFrame:
@@ -157,7 +167,7 @@ def drop_repeats(docs: DataFrame, width: int = 35, id_column: str = "doc_id", te
     id_type = docs.schema[id_column].dataType.simpleString()
 
     dealt = docs.select(
-        F.pmod(F.xxhash64(F.col(id_column), F.col(text_column)), F.lit(units)).cast("long").alias("unit"),
+        F.pmod(F.xxhash64(F.col(id_column), F.col(text_column), F.spark_partition_id()), F.lit(units)).cast("long").alias("unit"),
         F.col(id_column).alias("id"),
         F.col(text_column).cast("binary").alias("text"),
         *[F.col(c).alias(f"carried_{k}") for k, c in enumerate(carry)],
@@ -165,8 +175,9 @@ def drop_repeats(docs: DataFrame, width: int = 35, id_column: str = "doc_id", te
     carried = [f.name for f in dealt.schema if f.name.startswith("carried_")]
 
     def send(key, table):
-        data, offsets = binaries(texts_of(sorted_rows(table)))
-        hashes, again, *_ = distinct_windows(data, offsets, width)
+        texts, _, times = texts_of(sorted_rows(table))
+        data, offsets = binaries(texts)
+        hashes, again, *_ = distinct_windows(data, offsets, width, times)
         edges = bucket_edges(hashes, buckets)
         full = np.flatnonzero(np.diff(edges))
         return pa.table(
@@ -195,9 +206,9 @@ def drop_repeats(docs: DataFrame, width: int = 35, id_column: str = "doc_id", te
 
     def remove(docs_table, answers):
         table = sorted_rows(docs_table)
-        texts = texts_of(table)
+        texts, rows, times = texts_of(table)
         data, offsets = binaries(texts)
-        hashes, _, starts, which, counts = distinct_windows(data, offsets, width)
+        hashes, _, starts, which, counts = distinct_windows(data, offsets, width, times)
         repeated = np.zeros(len(hashes), bool)
         edges = bucket_edges(hashes, buckets)
         for b, bits in zip(answers.column("bucket").to_pylist(), answers.column("bits"), strict=True):
@@ -223,14 +234,14 @@ def drop_repeats(docs: DataFrame, width: int = 35, id_column: str = "doc_id", te
             kept.append(b" ".join(words))
         out = {
             "id": table.column("id"),
-            "n_words": pa.array(counts, pa.int64()),
-            "n_removed": pa.array(removed, pa.int64()),
-            "kept": pa.array(kept, pa.binary()),
-            "removed": pa.array(spans, pa.list_(pa.list_(pa.int64()))),
+            "n_words": pa.array(counts[rows], pa.int64()),
+            "n_removed": pa.array(removed[rows], pa.int64()),
+            "kept": pa.array([kept[r] for r in rows], pa.binary()),
+            "removed": pa.array([spans[r] for r in rows], pa.list_(pa.list_(pa.int64()))),
         }
         if with_text:
             original = table.column("text").to_pylist()
-            out["text"] = pa.array([k if n else t for k, n, t in zip(kept, removed, original, strict=True)], pa.binary()).cast(pa.string())
+            out["text"] = pa.array([kept[r] if removed[r] else t for r, t in zip(rows, original, strict=True)], pa.binary()).cast(pa.string())
         return pa.table(out | {c: table.column(c) for c in carried})
 
     # Both uses of dealt have the same columns, so that Spark makes one exchange of them.
