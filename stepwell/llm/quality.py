@@ -6,7 +6,8 @@ documents of either class that have the feature, plus one; a linear model with h
 indicators by dual coordinate descent; a logistic curve fitted on labelled rows that the model has not seen turns its
 margin into a score from 0 to 1.
 
-The model is fitted on a bounded sample of labelled rows: the ``most_rows`` with the smallest hashed id (a parameter).
+The model is fitted on a bounded sample of labelled rows: the ``most_rows`` with the smallest hashed id, as long as their
+features have no more than ``most_bytes`` together (both are parameters).
 Scoring covers every row and whole texts. Only the text is an input of a score.
 
 Defined results: null and empty texts have no features and get the score of the intercept. Of labels that contradict
@@ -24,13 +25,15 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from stepwell.llm.common import binaries, smallest_hashes, text_bytes
+from stepwell.llm.common import binaries, cut, smallest_hashes, text_bytes
 from stepwell.llm.substring import word_hashes
 
 SPACE_BITS = 16
 SPACE = 1 << SPACE_BITS
 FEATURES = 3 * SPACE
 TRAINING_ROWS = 12_000
+#: Features of the sample that the driver takes, in bytes; long texts have up to 786 KB.
+TRAINING_BYTES = 192 << 20
 EPOCHS = 12
 COST = 10.0
 THRESHOLD = 0.3
@@ -154,7 +157,7 @@ def fit(rows: list[np.ndarray], positive: np.ndarray) -> Model:
     return model
 
 
-def training_rows(docs: DataFrame, labels: DataFrame, most_rows: int, label: str = "quality", id_column: str = "doc_id", text_column: str = "text") -> tuple[list[np.ndarray], np.ndarray]:
+def training_rows(docs: DataFrame, labels: DataFrame, most_rows: int, most_bytes: int = TRAINING_BYTES, label: str = "quality", id_column: str = "doc_id", text_column: str = "text") -> tuple[list[np.ndarray], np.ndarray]:
     """Features and labels of the sample. The chosen ids are at most most_rows, so broadcasting them is bounded."""
     known = labels.where(F.col(label).isNotNull() & ~held_out(F.col(id_column))).groupBy(id_column).agg(F.max(label).alias("positive"))
     chosen = smallest_hashes(known, [id_column], most_rows, known.count()).select(F.col(id_column).alias("chosen"), (F.col("positive") > 0).alias("positive"))
@@ -168,14 +171,20 @@ def training_rows(docs: DataFrame, labels: DataFrame, most_rows: int, label: str
     rows = docs.select(F.col(id_column).alias("id"), text_bytes(text_column)).join(F.broadcast(chosen), F.col("id") == F.col("chosen"))
     # A row for each id: of copies of a row under one id, or different texts under it, the smallest set of bytes.
     got = rows.mapInArrow(run, f"id {id_type}, positive boolean, f binary").groupBy("id").agg(F.min(F.struct("f", "positive")).alias("x")).select("id", "x.f", "x.positive")
-    table = got.toArrow().sort_by("id")
+    got = cut(got.withColumn("place", F.xxhash64("id")))
+    sizes = sorted(map(tuple, got.select("place", F.octet_length("f")).collect()))  # most_rows pairs of numbers at most
+    fitting = np.cumsum([n for _, n in sizes]) <= most_bytes
+    if not fitting.all():
+        last = sizes[int(np.argmin(fitting))][0]
+        got = got.where(F.col("place") < last)
+    table = got.drop("place").toArrow().sort_by("id")
     order = np.random.default_rng(3).permutation(table.num_rows)
     fs = table.column("f").combine_chunks() if table.num_rows else []
     return [np.frombuffer(fs[int(i)].as_buffer(), np.int32) for i in order], table.column("positive").to_numpy(zero_copy_only=False).astype(bool)[order]
 
 
-def train(docs: DataFrame, labels: DataFrame, most_rows: int = TRAINING_ROWS, label: str = "quality", **columns: str) -> Model:
-    return fit(*training_rows(docs, labels, most_rows, label, **columns))
+def train(docs: DataFrame, labels: DataFrame, most_rows: int = TRAINING_ROWS, most_bytes: int = TRAINING_BYTES, label: str = "quality", **columns: str) -> Model:
+    return fit(*training_rows(docs, labels, most_rows, most_bytes, label, **columns))
 
 
 def score(docs: DataFrame, model: Model, id_column: str = "doc_id", text_column: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:
