@@ -6,15 +6,17 @@ Method: Rabin-Karp hashes of every window, counted in Spark.
    often is many units. Equal texts of a unit are worked on once, with their number. One task turns a unit into word hashes and
    rolling window hashes (polynomials modulo 2**64, prefix sums over NumPy arrays, finished by a bijective mix), drops
    the repeats inside the unit (they are known as repeated there) and sends each different hash once, with one bit
-   "repeated here", to the *bucket* that holds its range of values. A very common window therefore leaves a unit once.
+   "repeated here", to the *bucket* that a second, independent polynomial of the window names. A very common window
+   therefore leaves a unit once, and the bucket's number is a further part of the hash that costs no bytes.
 2. A bucket sorts its hashes; those that came from two units or were marked are repeated. It answers every unit with
    one bit for each hash received.
 3. Units meet their answers (the exchange of the documents is the one of step 1, reused), windows flagged as repeated
    merge into maximal removal intervals, and the words outside are kept.
 
 Shuffled: every text once, 8 bytes a different window of a unit, one bit back. Units and buckets have a bounded size;
-their number grows with the input. Windows with equal 64-bit hashes count as equal: with n windows about n**2 / 2**65
-pairs of different windows collide (0.0005 expected at 10**8 windows).
+their number grows with the input. Windows with equal 64-bit hashes in one bucket count as equal. As the bucket comes from
+another polynomial, n windows in b buckets have some n**2 / (b * 2**65) pairs of different windows that collide; b is about
+n / BUCKET_HASHES, so that is one pair at 10**13 windows and grows with n, not with its square.
 
 Defined results: null text has no words; a text shorter than the window loses nothing; rows that are repeated in the
 table (same id and text) each count as a document, so they lose all words that a window covers; an id may be null. A
@@ -40,7 +42,7 @@ PIECE_BYTES = 1 << 18
 
 _U = np.uint64
 #: Odd multipliers of the polynomials over bytes and over words, and a random value for each byte.
-BYTE_BASE, WORD_BASE = _U(0x5851F42D4C957F2D), _U(0x2545F4914F6CDD1D)
+BYTE_BASE, WORD_BASE, BUCKET_BASE = _U(0x5851F42D4C957F2D), _U(0x2545F4914F6CDD1D), _U(0xDA942042E4DD58B5)
 BYTE_VALUE = mixed(np.arange(1, 257, dtype=np.uint64) * _U(0x9E3779B97F4A7C15))
 BLANK = np.zeros(256, bool)
 BLANK[[9, 10, 11, 12, 13, 32]] = True
@@ -115,9 +117,18 @@ def window_hashes(words: np.ndarray, counts: np.ndarray, width: int) -> tuple[np
     return mixed(polynomial(words, starts, starts + width, WORD_BASE)), starts
 
 
-def distinct_windows(data, offsets, width: int, times_of_text: np.ndarray):
-    """Of one unit of different texts and the number of times each is there: sorted different hashes, whether each comes
-    up more than once, the windows' starts, the hash of each, words of each text."""
+def bucket_of(words: np.ndarray, starts: np.ndarray, width: int, buckets: int) -> np.ndarray:
+    """The bucket of the windows at starts, from a polynomial of its own over the words' hashes mixed once more."""
+    if not len(starts):
+        return np.zeros(0, np.uint32)
+    other = mixed(polynomial(mixed(words ^ BUCKET_BASE), starts, starts + width, BUCKET_BASE)) >> _U(32)
+    return (other * _U(buckets) >> _U(32)).astype(np.uint16 if buckets <= 1 << 16 else np.uint32)
+
+
+def distinct_windows(data, offsets, width: int, times_of_text: np.ndarray, buckets: int):
+    """Of one unit of different texts and the number of times each is there: different hashes by bucket and value, where
+    each bucket begins among them, whether each comes up more than once, the windows' starts, the hash of each, words of
+    each text."""
     words, counts = word_hashes(data, offsets)
     hashes, starts = window_hashes(words, counts, width)
     order = np.argsort(hashes, kind="stable")
@@ -130,13 +141,13 @@ def distinct_windows(data, offsets, width: int, times_of_text: np.ndarray):
     again = times > 1
     if (times_of_text > 1).any():
         again[which[np.repeat(times_of_text > 1, np.maximum(counts - width + 1, 0))[order]]] = True
-    return different, again, starts[order], which, counts
-
-
-def bucket_edges(hashes: np.ndarray, buckets: int) -> np.ndarray:
-    """Where in sorted hashes each bucket begins; bucket b has the hashes from ceil(b * 2**64 / buckets) on."""
-    lows = np.array([-(-(b << 64) // buckets) for b in range(buckets)], np.uint64)
-    return np.append(np.searchsorted(hashes, lows), len(hashes))
+    starts = starts[order]
+    bucket = bucket_of(words, starts[new], width, buckets)
+    by = np.argsort(bucket, kind="stable")
+    place = np.empty(len(by), np.int64)
+    place[by] = np.arange(len(by))
+    edges = np.append(0, np.cumsum(np.bincount(bucket, minlength=buckets)))
+    return different[by], edges, again[by], starts, place[which], counts
 
 
 def sorted_rows(table: pa.Table) -> pa.Table:
@@ -177,8 +188,7 @@ def drop_repeats(docs: DataFrame, width: int = 35, id_column: str = "doc_id", te
     def send(key, table):
         texts, _, times = texts_of(sorted_rows(table))
         data, offsets = binaries(texts)
-        hashes, again, *_ = distinct_windows(data, offsets, width, times)
-        edges = bucket_edges(hashes, buckets)
+        hashes, edges, again, *_ = distinct_windows(data, offsets, width, times, buckets)
         full = np.flatnonzero(np.diff(edges))
         return pa.table(
             {
@@ -208,9 +218,8 @@ def drop_repeats(docs: DataFrame, width: int = 35, id_column: str = "doc_id", te
         table = sorted_rows(docs_table)
         texts, rows, times = texts_of(table)
         data, offsets = binaries(texts)
-        hashes, _, starts, which, counts = distinct_windows(data, offsets, width, times)
+        hashes, edges, _, starts, which, counts = distinct_windows(data, offsets, width, times, buckets)
         repeated = np.zeros(len(hashes), bool)
-        edges = bucket_edges(hashes, buckets)
         for b, bits in zip(answers.column("bucket").to_pylist(), answers.column("bits"), strict=True):
             lo, hi = int(edges[b]), int(edges[b + 1])
             repeated[lo:hi] = np.unpackbits(np.frombuffer(bits.as_buffer(), np.uint8), count=hi - lo)

@@ -69,3 +69,27 @@ def test_long_texts_in_pieces(monkeypatch):
         assert got.tolist() == whole.tolist() and again.tolist() == counts.tolist()
     words = [w for p in parts for w in p.split()]
     assert len({*zip(words, whole.tolist(), strict=True)}) == len(set(words)) == len(set(whole.tolist()))
+
+
+@pytest.mark.parametrize("buckets", [8, 1000, 1 << 17])
+def test_buckets_of_windows(buckets):
+    """A window's bucket is the same wherever it stands, and says nothing about its hash."""
+    rng = np.random.default_rng(2)
+    words = rng.integers(0, 1 << 63, 20_000).astype(np.uint64)
+    words[15_000:15_050] = words[40:90]
+    hashes, starts = substring.window_hashes(words, np.array([20_000]), 35)
+    got = substring.bucket_of(words, starts, 35, buckets)
+    assert got[15_000:15_016].tolist() == got[40:56].tolist() and hashes[15_000:15_016].tolist() == hashes[40:56].tolist()
+    assert int(got.max()) < buckets and abs(np.corrcoef(got, hashes.astype(float))[0, 1]) < 0.05
+    if buckets == 8:
+        assert np.bincount(got, minlength=8).min() > 2200
+    assert not len(substring.bucket_of(words, starts[:0], 35, buckets))
+
+
+def test_unit_by_bucket():
+    data = b"a b c d a b c e"
+    hashes, edges, again, starts, which, counts = substring.distinct_windows(np.frombuffer(data, np.uint8), np.array([0, len(data)]), 2, np.array([1]), 8)
+    assert counts.tolist() == [8] and len(hashes) == 5 and edges[-1] == 5 and len(edges) == 9
+    for lo, hi in zip(edges[:-1], edges[1:], strict=True):
+        assert (np.diff(hashes[lo:hi].astype(float)) > 0).all()
+    assert sorted(starts[again[which]].tolist()) == [0, 1, 4, 5]
