@@ -93,8 +93,8 @@ select page_id, host, path, rule, coalesce(rv, 'allow') as verdict from m where
 """,
     "op3_exact_topk": """
 with v as (select vec_id, list_transform(embedding, lambda x: floor(1024 * cast(x as double))) as a from embeddings
-           where vec_id is not null and len(embedding) > 0 and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0),
-s as (select q.vec_id as query_id, c.vec_id, cast(list_dot_product(q.a, c.a) as bigint) as score
+           where vec_id is not null and embedding is not null and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0),
+s as (select q.vec_id as query_id, c.vec_id, cast(case when len(q.a) = 0 or len(c.a) = 0 then 0 else list_dot_product(q.a, c.a) end as bigint) as score
       from v q join v c on q.vec_id % 100 = 0 and c.vec_id <> q.vec_id),
 r as (select *, cast(row_number() over (partition by query_id order by score desc, vec_id) as integer) as rank from s)
 select query_id, rank, vec_id, score from r where rank <= 10

@@ -7,16 +7,18 @@ block is the sum over terms of the larger product with either extreme, so no sco
 visited in order of falling bound and scored through their forward index until the next bound is below the kth score
 (equal bounds are still visited: ties go to the smaller id). Nothing is approximate, whatever the order is worth.
 
-In Spark: blocks are grouped; a group is one binary row of bounded size. Queries are cut into chunks of bounded size,
-and every (chunk, group) cell is one call. A first round sends each chunk to the groups in which its queries have their
-largest bounds and so finds a lower limit of every query's kth score; the second visits all other groups, where only
-queries whose group bound reaches the limit are sent at all. Partial lists of k rows are merged per query.
+In Spark: blocks are grouped; a group is one binary row of bounded size. The extremes of groups lie side by side in
+*tiles*, queries in chunks, both of bounded size, and bounds are made a (chunk, tile) cell at a time, without a row for
+each query and group. A first round finds the group of each query's largest bound (a row for each query and tile), searches
+it, and so has a lower limit of every query's kth score. The second makes the bounds again and leaves one row for each
+chunk and group, with only those queries whose bound reaches their limit; what is pruned leaves no row at all. Partial
+lists of k rows are merged per query.
 
 Equal vectors are one candidate with their k + 1 smallest different ids, each as often as rows hold it, up to k + 1 times
 (no other id of the class can appear, whichever id asks and is left out), thinned before the shuffle, so a vector that a third of all rows hold costs as much as one.
 
-Defined results: vectors that are null, empty, or hold null or non-finite components take no part, nor do rows without
-id. Vectors of different length are compared as if padded with zeros. A repeated id counts as so many rows, of which
+Defined results: vectors that are null, or hold null or non-finite components take no part, nor do rows without id. Vectors
+of different length are compared as if padded with zeros, so an empty one scores 0 with all. A repeated id counts as so many rows, of which
 those with the query's id are all left out; of query rows with one id the smallest vector asks. Scaled components
 beyond 2**53 are cut there; scores beyond 64 bits are cut at the limits of a long. With fewer than k candidates all are returned; an empty table gives an empty result.
 """
@@ -25,6 +27,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -33,6 +36,8 @@ from stepwell.llm.common import cut, smallest_hashes, stored
 BLOCK = 128
 GROUP_BLOCKS = 64
 QUERY_CHUNK = 8192
+#: Groups whose extremes lie side by side, and queries whose bounds for them are held at a time.
+TILE, BOUND_ROWS = 1024, 512
 PIVOTS = 64
 SCALE = 1024
 _LIMIT = 1 << 53
@@ -40,7 +45,7 @@ _LIMIT = 1 << 53
 
 def usable(vector: Column) -> Column:
     finite = lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) != float("inf"))
-    return F.coalesce((F.size(vector) > 0) & F.forall(vector, finite), F.lit(False))
+    return F.coalesce(F.forall(vector, finite), F.lit(False))
 
 
 def scaled(vector: Column) -> Column:
@@ -157,77 +162,89 @@ def top_k(candidates: DataFrame, queries: DataFrame, k: int = 10) -> DataFrame:
     """query_id, rank, vec_id, score. candidates and queries: (id, v) with v an array of longs."""
     spark = candidates.sparkSession
     shape = candidates.union(queries).agg(F.max(F.size("v")).alias("width"), F.count("*").alias("rows")).first()
-    width = shape["width"]
-    schema = "query_id long, vec_id long, score long"
-    if width is None:
+    if shape["width"] is None:
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score long")
+    width = max(1, shape["width"])
     groups = build_groups(candidates, shape["rows"], width, k)
     queries = queries.groupBy("id").agg(F.min("v").alias("v"))
-    chunks = max(1, -(-queries.count() // QUERY_CHUNK))
-    asked = cut(queries.select("id", "v", F.pmod(F.xxhash64("id", F.lit(7)), F.lit(chunks)).cast("long").alias("chunk")))
-    packed = asked.groupBy("chunk").agg(F.collect_list(F.struct("id", "v")).alias("queries"))  # at most some QUERY_CHUNK rows
+    chunks, tiles = max(1, -(-queries.count() // QUERY_CHUNK)), max(1, -(-groups.count() // TILE))
+    asked = cut(queries.select(F.col("id").alias("query_id"), "v", F.pmod(F.xxhash64("id", F.lit(7)), F.lit(chunks)).cast("long").alias("chunk")))
+    # Every chunk meets the extremes of every tile: a stated query set against all rows, in blocks.
+    extremes = (
+        groups.groupBy(F.pmod(F.xxhash64("gid"), F.lit(tiles)).alias("tile"))
+        .agg(F.collect_list(F.struct("gid", "high", "low")).alias("groups"))
+        .withColumn("chunk", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(chunks - 1).cast("long"))))
+    )
 
-    # Bounds of every (query, group): one row a chunk and group; the extremes of a group are all that is read of it.
-    def bound_cells(batches):
+    def cells(rows: DataFrame) -> DataFrame:
+        """rows: query_id, v, chunk, limit, seen."""
+        packed = rows.groupBy("chunk").agg(F.collect_list(F.struct("query_id", "v", "limit", "seen")).alias("queries"))  # at most some QUERY_CHUNK rows
+        return extremes.join(packed, "chunk").select("queries", "groups")
+
+    def each_cell(make):
+        """make(queries, gids, bounds) of each cell; bounds comes for some queries at a time."""
+
+        def over(batches):
+            for batch in batches:
+                for row in range(batch.num_rows):
+                    queries, tile = batch.column("queries")[row].values, batch.column("groups")[row].values
+                    m, high, low = matrix(queries.field("v"), width), matrix(tile.field("high"), width), matrix(tile.field("low"), width)
+                    yield from make(queries, tile.field("gid"), (bounds(m[at : at + BOUND_ROWS], high, low) for at in range(0, len(m), BOUND_ROWS)))
+
+        return over
+
+    def largest(queries, gids, bound):
+        best, most = zip(*((b.argmax(axis=1), b.max(axis=1)) for b in bound), strict=True)
+        yield pa.RecordBatch.from_pydict({"query_id": queries.field("query_id"), "bound": pa.array(np.concatenate(most), pa.int64()), "gid": gids.take(pa.array(np.concatenate(best)))})
+
+    def reached(queries, gids, bound):
+        seen = queries.field("seen")
+        low = queries.field("limit").fill_null(-(1 << 63)).to_numpy(zero_copy_only=False)[:, None]
+        wanted = np.concatenate([b >= low[k * BOUND_ROWS : k * BOUND_ROWS + len(b)] for k, b in enumerate(bound)])
+        for g, gid in enumerate(gids.to_pylist()):
+            at = np.flatnonzero(wanted[:, g])
+            at = at[pc.not_equal(seen.take(pa.array(at)), gid).to_numpy(zero_copy_only=False)]
+            if len(at):
+                mine = queries.take(pa.array(at))
+                listed = pa.ListArray.from_arrays(pa.array([0, len(at)], pa.int32()), pa.StructArray.from_arrays([mine.field(c) for c in ("query_id", "v", "limit")], ["query_id", "v", "limit"]))
+                yield pa.RecordBatch.from_pydict({"gid": pa.array([gid]), "queries": listed})
+
+    def search(batches):
         for batch in batches:
             for row in range(batch.num_rows):
-                qs = batch.column("queries")[row].values
-                m = matrix(qs.field("v"), width)
-                high, low = (np.array(batch.column(c)[row].as_py(), np.int64)[None, :] for c in ("high", "low"))
-                got = bounds(m, high, low)[:, 0]
-                yield pa.RecordBatch.from_pydict(
-                    {
-                        "query_id": qs.field("id"),
-                        "gid": pa.array([batch.column("gid")[row].as_py()] * len(m), pa.string()),
-                        "bound": pa.array(got, pa.int64()),
-                    }
-                )
-
-    # Every chunk meets the extremes of every group: a stated query set against all rows, in blocks.
-    repeated = groups.select("gid", "high", "low", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(chunks - 1).cast("long"))).alias("chunk"))
-    bound = repeated.join(packed, "chunk").select("queries", "gid", "high", "low").mapInArrow(bound_cells, "query_id long, gid string, bound long")
-
-    def search(key, wanted, group):
-        if not wanted.num_rows or not group.num_rows:
-            return pa.table({"query_id": pa.array([], pa.int64()), "vec_id": pa.array([], pa.int64()), "score": pa.array([], pa.int64())})
-        wanted = wanted.combine_chunks()
-        vectors = np.frombuffer(group.column("vectors")[0].as_py(), np.int64).reshape(-1, width)
-        counts = np.frombuffer(group.column("counts")[0].as_py(), np.int64)
-        members = np.frombuffer(group.column("members")[0].as_py(), np.int64)
-        ends = np.cumsum(counts)
-        blocks, high, low = [], [], []
-        for lo in range(0, len(vectors), BLOCK):
-            hi = min(lo + BLOCK, len(vectors))
-            part = vectors[lo:hi]
-            blocks.append((part, np.repeat(np.arange(hi - lo), counts[lo:hi]), members[ends[lo] - counts[lo] : ends[hi - 1]]))
-            high.append(part.max(axis=0))
-            low.append(part.min(axis=0))
-        m = matrix(wanted.column("v").combine_chunks(), width)
-        table = bounds(m, np.array(high), np.array(low))
-        out = []
-        limits = wanted.column("limit").to_pylist()
-        for row, query in enumerate(wanted.column("query_id").to_pylist()):
-            scores, ids = search_group(query, m[row], table[row], blocks, k, limits[row])
-            out.append((np.full(len(ids), query), ids, scores))
-        cols = [np.concatenate(x) if x else np.zeros(0, np.int64) for x in zip(*out, strict=True)]
-        return pa.table({c: pa.array(x, pa.int64()) for c, x in zip(("query_id", "vec_id", "score"), cols, strict=True)})
-
-    def visit(cells: DataFrame) -> DataFrame:
-        """cells: query_id, gid, limit."""
-        sent = cells.join(asked.select(F.col("id").alias("query_id"), "v", "chunk"), "query_id")
-        # A group that all queries want is visited chunk by chunk: the key of a call is (group, chunk).
-        wanted = sent.select("gid", "chunk", "query_id", "v", "limit")
-        visited = wanted.select(F.col("gid").alias("at"), F.col("chunk").alias("part")).distinct()
-        visited = visited.join(groups.select(F.col("gid").alias("at"), "vectors", "counts", "members"), "at")
-        return wanted.groupBy("gid", "chunk").cogroup(visited.groupBy("at", "part")).applyInArrow(search, schema)
-
-    by_bound = Window.partitionBy("query_id").orderBy(F.desc("bound"), "gid")
-    ranked = cut(bound.withColumn("r", F.row_number().over(by_bound)))
-    first = cut(visit(ranked.where("r = 1").select("query_id", "gid", F.lit(None).cast("long").alias("limit"))))
+                wanted = batch.column("queries")[row].values
+                vectors = np.frombuffer(batch.column("vectors")[row].as_buffer(), np.int64).reshape(-1, width)
+                counts, members = (np.frombuffer(batch.column(c)[row].as_buffer(), np.int64) for c in ("counts", "members"))
+                ends = np.cumsum(counts)
+                blocks, high, low = [], [], []
+                for lo in range(0, len(vectors), BLOCK):
+                    hi = min(lo + BLOCK, len(vectors))
+                    part = vectors[lo:hi]
+                    blocks.append((part, np.repeat(np.arange(hi - lo), counts[lo:hi]), members[ends[lo] - counts[lo] : ends[hi - 1]]))
+                    high.append(part.max(axis=0))
+                    low.append(part.min(axis=0))
+                m = matrix(wanted.field("v"), width)
+                table = bounds(m, np.array(high), np.array(low))
+                out = []
+                for q, (query, limit) in enumerate(zip(wanted.field("query_id").to_pylist(), wanted.field("limit").to_pylist(), strict=True)):
+                    scores, ids = search_group(query, m[q], table[q], blocks, k, limit)
+                    out.append((np.full(len(ids), query), ids, scores))
+                cols = [np.concatenate(x) for x in zip(*out, strict=True)]
+                yield pa.RecordBatch.from_pydict({c: pa.array(x, pa.int64()) for c, x in zip(("query_id", "vec_id", "score"), cols, strict=True)})
+
+    # A group that all queries want has a row for each chunk; the join is between plain exchanges, so a hot group is split.
+    def visit(wanted: DataFrame) -> DataFrame:
+        """wanted: gid, queries."""
+        return wanted.join(groups.select("gid", "vectors", "counts", "members"), "gid").select("queries", "vectors", "counts", "members").mapInArrow(search, "query_id long, vec_id long, score long")
+
+    nothing = asked.withColumns({"limit": F.lit(None).cast("long"), "seen": F.lit(None).cast("string")})
+    best = cells(nothing).mapInArrow(each_cell(largest), "query_id long, bound long, gid string").groupBy("query_id").agg(F.max(F.struct("bound", "gid"))["gid"].alias("seen"))
+    started = cut(asked.join(best, "query_id"))
+    first = cut(visit(started.groupBy(F.col("seen").alias("gid"), "chunk").agg(F.collect_list(F.struct("query_id", "v", F.lit(None).cast("long").alias("limit"))).alias("queries")).select("gid", "queries")))
     of_query = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     limits = first.withColumn("r", F.row_number().over(of_query)).where(F.col("r") == k).select("query_id", F.col("score").alias("limit"))
-    rest = ranked.where("r > 1").join(limits, "query_id", "left").where("limit is null or bound >= limit").select("query_id", "gid", "limit")
-    found = first.union(visit(rest))
+    rest = cells(started.join(limits, "query_id", "left"))
+    found = first.union(visit(rest.mapInArrow(each_cell(reached), "gid string, queries array<struct<query_id: long, v: array<long>, limit: long>>")))
     return (
         found.withColumn("rank", F.row_number().over(of_query)).where(F.col("rank") <= k).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
     )

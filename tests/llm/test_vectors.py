@@ -25,7 +25,7 @@ def rows_of(seed, n, width=6):
 def plain_topk(rows, every, k):
     v = {}
     for i, x in rows:
-        if i is not None and x and all(c is not None and math.isfinite(c) for c in x):
+        if i is not None and x is not None and all(c is not None and math.isfinite(c) for c in x):
             v[i] = [math.floor(1024 * float(np.float32(c))) for c in x]
     out = []
     for q in v:
@@ -41,6 +41,8 @@ def test_topk_against_brute_force(spark, monkeypatch, n, k):
     monkeypatch.setattr(topk, "GROUP_BLOCKS", 3)
     monkeypatch.setattr(topk, "QUERY_CHUNK", 9)
     monkeypatch.setattr(topk, "PIVOTS", 5)
+    monkeypatch.setattr(topk, "TILE", 4)
+    monkeypatch.setattr(topk, "BOUND_ROWS", 4)
     rows = rows_of(n, n)
     vectors = topk.clean(frame(spark, rows))
     got = topk.top_k(vectors, vectors.where("id % 10 = 0"), k).collect()
