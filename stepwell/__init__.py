@@ -54,11 +54,13 @@ from stepwell.plans.task import (
     TaskFused,
     TaskJson,
     TaskJsonLines,
+    TaskKeras,
     TaskMarkdown,
     TaskModel,
     TaskOrc,
     TaskParquet,
     TaskPickle,
+    TaskTorch,
     inherits,
     requires,
     requires_each,
@@ -76,6 +78,8 @@ TaskCSVPandas = TaskCSV
 TaskCSVGZPandas = TaskCSVGZ
 TaskExcelPandas = TaskExcel
 TaskExcelPandasSingle = TaskExcelSingle
-TaskH5Pandas = TaskParquet  # frames that were kept as HDF5 are kept as parquet
+TaskH5Pandas = TaskDatatable = TaskParquet  # frames that were kept as HDF5 or by H2O are kept as parquet
+TaskH5Keras = TaskKeras
+PyTorch = TaskTorch
 
 __all__ = [n for n in dir() if not n.startswith("_")]

@@ -713,6 +713,14 @@ class TaskModel(TaskData):
     target, ext = targets.ModelTarget, "model"
 
 
+class TaskTorch(TaskData):
+    target, ext = targets.TorchTarget, "pt"
+
+
+class TaskKeras(TaskData):
+    target, ext = targets.KerasTarget, "hdf5"
+
+
 class TaskExcelSingle(TaskData):
     target, ext = targets.ExcelTarget, "xlsx"
 

@@ -385,6 +385,41 @@ class ModelTarget(DataTarget):
         data.write().overwrite().save(located(self.path))
 
 
+class TorchTarget(DataTarget):
+    """A torch model or any object that torch saves. Runs on the driver; needs torch. Options go to torch.save or load."""
+
+    def read(self, **options: Any) -> Any:
+        import torch
+
+        return torch.load(io.BytesIO(files.read_bytes(self.path)), **options)
+
+    def write(self, data: Any, **options: Any) -> None:
+        import torch
+
+        out = io.BytesIO()
+        torch.save(data, out, **options)
+        files.write_bytes(self.path, out.getvalue())
+
+
+class KerasTarget(DataTarget):
+    """A Keras model in HDF5, made in memory. Runs on the driver; needs tensorflow and h5py."""
+
+    def read(self, **options: Any) -> Any:
+        import h5py
+        from tensorflow.keras.models import load_model
+
+        with h5py.File(io.BytesIO(files.read_bytes(self.path)), "r") as store:
+            return load_model(store, **options)
+
+    def write(self, data: Any, **options: Any) -> None:
+        import h5py
+
+        out = io.BytesIO()
+        with h5py.File(out, "w") as store:
+            data.save(store, **options)
+        files.write_bytes(self.path, out.getvalue())
+
+
 def to_parquet(df: Any, path: str, **options: Any) -> str:
     """Write a frame as parquet at a path of one's own choice."""
     return ParquetTarget(path).save(df, **options)

@@ -1,8 +1,10 @@
 import datetime
 import enum
 import json
+import pickle
 import re
 import sys
+import types
 import warnings
 
 import pytest
@@ -272,6 +274,50 @@ class TestFormats:
         targets._LOADED.clear()
         assert abs(sw.Workflow(Fit).outputLoad().intercept - 1) < 1e-6
 
+    def test_models_of_other_libraries(self, monkeypatch):
+        """With stand-ins that keep the libraries' calls: files are made in memory and come back through the store."""
+        torch = types.ModuleType("torch")
+        torch.save = lambda obj, f, **options: pickle.dump((obj, options), f)
+        torch.load = lambda f, **options: (pickle.load(f), options)
+        monkeypatch.setitem(sys.modules, "torch", torch)
+
+        class Net(sw.PyTorch):
+            def run(self):
+                self.save({"w": [1, 2]}, protocol=3)
+
+        sw.run(Net())
+        assert Net().output().path.endswith(".pt")
+        assert Net().output().load(weights_only=True) == (({"w": [1, 2]}, {"protocol": 3}), {"weights_only": True})
+
+        class Store:
+            def __init__(self, f, mode):
+                self.f = f
+
+            def __enter__(self):
+                return self
+
+            def __exit__(self, *_):
+                pass
+
+        class Model:
+            def __init__(self, weights):
+                self.weights = weights
+
+            def save(self, store):
+                store.f.write(json.dumps(self.weights).encode())
+
+        h5py, keras = types.ModuleType("h5py"), types.ModuleType("tensorflow.keras.models")
+        h5py.File, keras.load_model = Store, lambda store: Model(json.loads(store.f.read()))
+        for name, module in (("h5py", h5py), ("tensorflow", types.ModuleType("tensorflow")), ("tensorflow.keras", types.ModuleType("k")), ("tensorflow.keras.models", keras)):
+            monkeypatch.setitem(sys.modules, name, module)
+
+        class Deep(sw.TaskH5Keras):
+            def run(self):
+                self.save(Model([3, 4]))
+
+        assert sw.runLoad(Deep).weights == [3, 4]
+        assert Deep().output().path.endswith(".hdf5") and not [n for n in files.names(Deep().output().path.rsplit("/", 1)[0]) if n.startswith("_tmp")]
+
     def test_orphans(self):
         sw.Workflow(Numbers).run()
         sw.Workflow(Numbers, {"n": 2}).run()
