@@ -1,3 +1,4 @@
+import math
 import random
 import zlib
 
@@ -91,3 +92,71 @@ def test_calibration(shift, slope):
     y = rng.random(4000) < quality.logistic(slope * m + shift)
     a, b = quality.calibrate(m, y)
     assert abs(a - slope) < 0.15 and abs(b - shift) < 0.15
+
+
+def plain_features(text):
+    """Features of one text by the definition, with the operator's hashes of single words."""
+    data = (text or "").encode()
+    words = [int(quality.word_hashes(np.frombuffer(w, np.uint8), np.array([0, len(w)]))[0][0]) for w in data.split()]
+    top = 64 - quality.SPACE_BITS
+    out = {(int.from_bytes(data[i : i + 3], "big") * 2654435761 % 2**32) >> (32 - quality.SPACE_BITS) for i in range(len(data) - 2)}
+    out |= {(w >> top) + quality.SPACE for w in words}
+    out |= {((a * 0x9E3779B97F4A7C15 + b) * 0xD6E8FEB86659FD93 % 2**64 >> top) + 2 * quality.SPACE for a, b in zip(words, words[1:], strict=False)}
+    return sorted(out)
+
+
+def plain_scores(docs, labels):
+    """Scores of all texts by dictionaries and loops: the same sample, folds and order of coordinates."""
+    known, text_of_id = {}, {}
+    for i, y in labels:
+        if i is not None and y is not None and zlib.crc32(str(i).encode()) % 5:
+            known[i] = max(y, known.get(i, 0))
+    for i, t in docs:
+        if i in known:
+            text_of_id.setdefault(i, t)
+    ids = sorted(text_of_id)
+    ids = [ids[k] for k in np.random.default_rng(3).permutation(len(ids))]
+    rows, good = [plain_features(text_of_id[i]) for i in ids], [known[i] > 0 for i in ids]
+    learn = [k for k in range(len(ids)) if k % 4 != 3]
+    count = {True: dict.fromkeys(range(quality.FEATURES), 1), False: dict.fromkeys(range(quality.FEATURES), 1)}
+    for k in learn:
+        for f in rows[k]:
+            count[good[k]][f] += 1
+    total = {y: sum(c.values()) for y, c in count.items()}
+    ratio = [math.log(count[True][f] / total[True]) - math.log(count[False][f] / total[False]) for f in range(quality.FEATURES)]
+    length = lambda fs: math.sqrt(sum(ratio[f] ** 2 for f in fs)) or 1.0
+    w, bias, alpha = {}, 0.0, dict.fromkeys(learn, 0.0)
+    share = {y: len(learn) / (2 * sum(good[k] == y for k in learn)) for y in (True, False)}
+    rng = np.random.default_rng(7)
+    for _ in range(quality.EPOCHS):
+        moved = 0.0
+        for k in (learn[i] for i in rng.permutation(len(learn))):
+            y, n = (1 if good[k] else -1), length(rows[k])
+            wrong = y * (sum(w.get(f, 0.0) * ratio[f] for f in rows[k]) / n + bias) - 1
+            new = min(max(alpha[k] - wrong / 2, 0.0), quality.COST * share[good[k]])
+            step, alpha[k] = (new - alpha[k]) * y, new
+            for f in rows[k]:
+                w[f] = w.get(f, 0.0) + step * ratio[f] / n
+            bias += step
+            moved = max(moved, abs(step))
+        if moved < 1e-3:
+            break
+
+    def margin(fs):
+        return sum(w.get(f, 0.0) * ratio[f] for f in fs) / length(fs) + bias
+
+    apart = [k for k in range(len(ids)) if k % 4 == 3]
+    slope, shift = quality.calibrate(np.array([margin(rows[k]) for k in apart]), np.array([good[k] for k in apart]))
+    return [1 / (1 + math.exp(-(slope * margin(plain_features(t)) + shift))) for _, t in docs]
+
+
+def test_query_against_brute_force(spark):
+    docs, labels, _ = frames(spark, 120)
+    rows = [(r.doc_id, r.text) for r in docs.collect()]
+    want = plain_scores(rows, [(r.doc_id, r.quality) for r in labels.collect()])
+    got = quality.judged(quality.score(docs, quality.train(docs, labels))).collect()
+    key = lambda i, s: (i is None, i or 0, s)
+    mine, plain = sorted(key(r.doc_id, r.score) for r in got), sorted(key(i, s) for (i, _), s in zip(rows, want, strict=True))
+    assert [m[:2] for m in mine] == [p[:2] for p in plain]
+    assert np.allclose([m[2] for m in mine], [p[2] for p in plain], rtol=0, atol=1e-4)
+    assert len({round(m[2], 3) for m in mine}) > 50
