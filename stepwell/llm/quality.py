@@ -193,14 +193,17 @@ def score(docs: DataFrame, model: Model, id_column: str = "doc_id", text_column:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            got = shipped.value.score(*binaries(batch.column("scored_text")))
-            columns = [c for c in batch.schema.names if c != "scored_text"]
+            texts = batch.column("scored")
+            got = shipped.value.score(*binaries(texts.fill_null(b"") if texts.null_count else texts))
+            columns = [c for c in batch.schema.names if c != "scored" or text_column in keep]
             yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in columns], pa.array(got)], [*columns, "score"])
 
-    rows = docs.select(F.col(id_column).alias("id"), *[F.col(c).alias(f"kept_{k}") for k, c in enumerate(keep)], text_bytes(text_column, "scored_text"))
-    kinds = "".join(f"{f.name} {f.dataType.simpleString()}, " for f in rows.schema if f.name != "scored_text")
+    # The text goes to a worker once, and comes back only if it is kept.
+    of = {c: "scored" if c == text_column else f"kept_{k}" for k, c in enumerate(keep)}
+    rows = docs.select(F.col(id_column).alias("id"), *[F.col(c).alias(k) for c, k in of.items() if k != "scored"], F.col(text_column).cast("binary").alias("scored"))
+    kinds = "".join(f"{f.name} {f.dataType.simpleString()}, " for f in rows.schema if f.name != "scored" or text_column in keep)
     got = rows.mapInArrow(run, kinds + "score double")
-    return got.select(F.col("id").alias(id_column), *[F.col(f"kept_{k}").alias(c) for k, c in enumerate(keep)], "score")
+    return got.select(F.col("id").alias(id_column), *[F.col(k).cast(docs.schema[c].dataType).alias(c) for c, k in of.items()], "score")
 
 
 def judged(scored: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
